@@ -43,6 +43,9 @@ _PLAIN = (
     rf"(?:\?[{_UNRESERVED}=&]*)?(?:#[^%]*)?$"
 )
 _TWO_EQUALS = r"=[^?&#]*="
+_PLAIN_HOST = (
+    r"^[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9.\-]+(?::[0-9]*)?(?:[/?#][^%\x00-\x1F\x7F]*)?$"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -265,9 +268,11 @@ def normalize_or_raw(url: Column) -> Column:
 
 def _host_of(url: Column) -> Column:
     """Decoded host with port, case kept: NULL if unparseable, '' if none."""
-    return _with_parts(
+    return F.when(
+        url.rlike(_PLAIN_HOST), F.regexp_extract(url, r"^[^/]*//([^/?#]*)", 1)
+    ).otherwise(_with_parts(
         url, lambda p: F.when(_invalid(p), F.lit(None)).otherwise(_decoded_host(p["host"]))
-    )
+    ))
 
 
 def _strip_port(host: Column) -> Column:

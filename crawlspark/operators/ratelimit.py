@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -28,11 +28,22 @@ def rate_limit(requests: DataFrame, rate: float = C.DEFAULT_RATE_PER_SECOND,
     interval = F.lit(round(1_000_000 / rate)).cast("bigint")
     keys, order = ["domain"], ["arrival_us", "seq"]
 
-    local = slices.cut_hot_keys(requests, keys, F.col("arrival_us"), min_rows)
-    local = local.withColumn("_n", F.row_number().over(slices.inside(keys, order)).cast("bigint"))
+    sliced, hot = slices.cut_hot_keys(requests, keys, F.col("arrival_us"), min_rows)
+    local = sliced.withColumn("_n", F.row_number().over(slices.inside(keys, order)).cast("bigint"))
     local = local.withColumn("_lead", F.col("arrival_us") - F.col("_n") * interval)
     local = local.withColumn("_max", F.max("_lead").over(slices.running(keys, order)))
 
+    def schedule(rows: DataFrame, highest: Column, number: Column) -> DataFrame:
+        admitted = F.greatest("arrival_us", highest + (number - burst + 1) * interval)
+        return (
+            rows.withColumn("admitted_us", admitted)
+            .withColumn("delay_us", F.col("admitted_us") - F.col("arrival_us"))
+            .select(*requests.columns, "admitted_us", "delay_us")
+        )
+
+    if not hot:
+        return schedule(local, F.col("_max"), F.col("_n"))
+
     parts = slices.summaries(
         local.select("domain", slices.SLICE, "_lead"), keys,
         F.count(F.lit(1)).alias("_count"), F.max("_lead").alias("_top"))
@@ -43,15 +54,8 @@ def rate_limit(requests: DataFrame, rate: float = C.DEFAULT_RATE_PER_SECOND,
     ).select("domain", slices.SLICE, "_before", "_top")
 
     shift = F.coalesce("_before", F.lit(0))
-    number = F.col("_n") + shift
     highest = F.greatest(F.col("_max") - shift * interval, F.col("_top"))
-    admitted = F.greatest("arrival_us", highest + (number - burst + 1) * interval)
-    return (
-        slices.carry(local, carried, keys)
-        .withColumn("admitted_us", admitted)
-        .withColumn("delay_us", F.col("admitted_us") - F.col("arrival_us"))
-        .drop("_n", "_lead", "_max", "_before", "_top", slices.SLICE)
-    )
+    return schedule(slices.carry(local, carried, keys), highest, F.col("_n") + shift)
 
 
 def mark_deadlines(schedule: DataFrame) -> DataFrame:

@@ -6,16 +6,19 @@ slices. Window values are computed inside a slice; one summary row per slice
 is carried forward over the slices of its key and added to its rows. Results
 are exact, only the work is split.
 
-Sizes: at most `HOT_KEYS` keys can each hold more than 1/`HOT_KEYS` of all
-rows, and each gets at most `SLICES` slices, so the table of hot keys has at
-most 256 rows and the carried table at most 65,536. Both may be broadcast.
-Rows are shuffled once, by key and slice.
+Key sizes are counted first, in a job of its own. In the usual case that no key
+is hot, what remains is a plain window. At most `HOT_KEYS` keys can each hold
+more than 1/`HOT_KEYS` of all rows, so the driver reads at most that many rows,
+and the carried table has at most `HOT_KEYS` x `SLICES` rows. Both may be
+broadcast. Cut points are quantiles of the position, hence slices of a key are
+of equal size; they only steer the work, never the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_KEYS = 256
 SLICES = 256
@@ -24,36 +27,59 @@ MIN_ROWS = 1_000_000  # keys below this size are cheap in one task
 SLICE = "_slice"
 
 
+def _quantiles(position: str, parts: int) -> Column:
+    fractions = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return F.percentile_approx(position, fractions, F.lit(10_000))
+
+
+def _slice_of(position: Column, cuts: Column) -> Column:
+    """1 for positions below the first cut, and so on."""
+    return F.size(F.filter(cuts, lambda c: c <= position)) + 1
+
+
 def cut_hot_keys(df: DataFrame, keys: list[str], position: Column,
-                 min_rows: int = MIN_ROWS) -> DataFrame:
+                 min_rows: int = MIN_ROWS) -> tuple[DataFrame, bool]:
     """Add `_slice`: 0 for ordinary keys, 1, 2, ... in position order for hot ones.
 
-    `position` is a BIGINT that grows with the order the caller will use.
+    `position` is a BIGINT that grows with the order the caller will use. The
+    second value says whether there are hot keys at all.
     """
-    keyed = df.select(*keys, position.alias("_at"))
-    sizes = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
-    total = keyed.agg(F.count(F.lit(1))).scalar()
-    hot = sizes.where((F.col("_rows") > min_rows) & (F.col("_rows") * HOT_KEYS > total)).select(
-        *keys, "_low", (F.floor((F.col("_high") - F.col("_low")) / SLICES) + 1).alias("_width"))
-    number = 1 + F.floor((position - F.col("_low")) / F.col("_width")).cast("int")
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(SLICE, F.coalesce(number, F.lit(0)))
-        .drop("_low", "_width")
+    spark = df.sparkSession
+    total = Observation()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).observe(
+        total, F.sum("_rows").alias("rows"))
+    largest = sizes.where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(HOT_KEYS).collect()
+    rows = total.get["rows"] or 0
+    hot = [tuple(r[k] for k in keys) for r in largest if r["_rows"] * HOT_KEYS > rows]
+    if not hot:
+        return df.withColumn(SLICE, F.lit(0)), False
+
+    key_types = T.StructType([df.schema[k] for k in keys])
+    hot_keys = spark.createDataFrame(hot, key_types)
+    measured = (
+        df.select(*keys, position.alias("_at")).join(F.broadcast(hot_keys), keys)
+        .groupBy(*keys).agg(_quantiles("_at", SLICES).alias("_cuts")).collect()
     )
+    cuts = spark.createDataFrame(
+        [tuple(r) for r in measured],
+        T.StructType([*key_types.fields, T.StructField("_cuts", T.ArrayType(T.LongType()))]))
+    number = F.when(F.col("_cuts").isNotNull(), _slice_of(position, F.col("_cuts"))).otherwise(0)
+    return df.join(F.broadcast(cuts), keys, "left").withColumn(SLICE, number).drop("_cuts"), True
 
 
 def cut_whole(df: DataFrame, position: Column, extent: DataFrame | None = None,
-              slices: int = 4096) -> DataFrame:
+              rows_per_slice: int = MIN_ROWS, slices: int = 1024) -> DataFrame:
     """Slices over the whole table, for values that run over all rows.
 
-    `extent` may name a cheaper table with the same range of positions.
+    `extent` may name a cheaper table whose positions are spread alike.
     """
-    ends = (df if extent is None else extent).agg(F.min(position).alias("low"), F.max(position).alias("high"))
-    low = ends.select("low").scalar()
-    width = ends.select((F.floor((F.col("high") - F.col("low")) / slices) + 1).alias("w")).scalar()
-    return df.withColumn(SLICE, 1 + F.floor((position - low) / width).cast("int"))
+    measured = (df if extent is None else extent).select(position.alias("_at")).agg(
+        F.count(F.lit(1)).alias("rows"), _quantiles("_at", slices).alias("cuts")).first()
+    wanted = max(1, min(slices, measured["rows"] // max(rows_per_slice, 1)))
+    cuts = (measured["cuts"] or [])[slices // wanted - 1::slices // wanted] if wanted > 1 else []
+    if not cuts:
+        return df.withColumn(SLICE, F.lit(1))
+    return df.withColumn(SLICE, _slice_of(position, F.array(*map(F.lit, cuts))))
 
 
 def inside(keys: list[str], order: list) -> Window:
@@ -85,9 +111,11 @@ def carry(local: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
 def row_numbers(df: DataFrame, keys: list[str], order: list, position: Column, name: str,
                 min_rows: int = MIN_ROWS) -> DataFrame:
     """Number the rows of each key in order, from 1."""
-    local = cut_hot_keys(df, keys, position, min_rows).withColumn(
-        name, F.row_number().over(inside(keys, order)).cast("bigint"))
-    counts = summaries(local.select(*keys, SLICE), keys, F.count(F.lit(1)).alias("_n"))
+    sliced, hot = cut_hot_keys(df, keys, position, min_rows)
+    local = sliced.withColumn(name, F.row_number().over(inside(keys, order)).cast("bigint"))
+    if not hot:
+        return local.drop(SLICE)
+    counts = summaries(sliced.select(*keys, SLICE), keys, F.count(F.lit(1)).alias("_n"))
     before = counts.select(*keys, SLICE, F.sum("_n").over(earlier(keys)).alias("_before"))
     return (
         carry(local, before, keys)
@@ -96,29 +124,45 @@ def row_numbers(df: DataFrame, keys: list[str], order: list, position: Column, n
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list, position: Column, value: str,
-                name: str, min_rows: int = MIN_ROWS, extent: DataFrame | None = None) -> DataFrame:
-    """Sum of `value` over the rows of the key up to and including this one."""
-    sliced = (
-        cut_hot_keys(df, keys, position, min_rows) if keys else cut_whole(df, position, extent)
-    )
-    local = sliced.withColumn(name, F.sum(value).over(running(keys, order)))
-    sums = summaries(local.select(*keys, SLICE, value), keys, F.sum(value).alias("_sum"))
+def _add_carried_sum(sliced: DataFrame, keys: list[str], order: list, value: str, name: str,
+                     hot: bool) -> DataFrame:
+    total = F.coalesce(F.sum(value).over(running(keys, order)), F.lit(0))
+    local = sliced.withColumn(name, total)
+    if not hot:
+        return local.drop(SLICE)
+    sums = summaries(sliced.select(*keys, SLICE, value), keys, F.sum(value).alias("_sum"))
     before = sums.select(*keys, SLICE, F.sum("_sum").over(earlier(keys)).alias("_before"))
     return (
         carry(local, before, keys)
-        .withColumn(name, F.coalesce(name, F.lit(0)) + F.coalesce("_before", F.lit(0)))
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
         .drop("_before", SLICE)
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list, position: Column, value: str,
+                name: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Sum of `value` over the rows of the key up to and including this one."""
+    sliced, hot = cut_hot_keys(df, keys, position, min_rows)
+    return _add_carried_sum(sliced, keys, order, value, name, hot)
+
+
+def running_total(df: DataFrame, order: list, position: Column, value: str, name: str,
+                  extent: DataFrame | None = None, rows_per_slice: int = MIN_ROWS) -> DataFrame:
+    """Sum of `value` over all rows up to and including this one. Only the
+    slice sums, a thousand at most, pass through one task."""
+    sliced = cut_whole(df, position, extent, rows_per_slice)
+    return _add_carried_sum(sliced, [], order, value, name, True)
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], position: Column, value: str,
              name: str, min_rows: int = MIN_ROWS) -> DataFrame:
     """`value` of the preceding row of the key; NULL for the first. `value` has no NULLs."""
-    local = cut_hot_keys(df, keys, position, min_rows).withColumn(
-        name, F.lag(value).over(inside(keys, order)))
+    sliced, hot = cut_hot_keys(df, keys, position, min_rows)
+    local = sliced.withColumn(name, F.lag(value).over(inside(keys, order)))
+    if not hot:
+        return local.drop(SLICE)
     lasts = summaries(
-        local.select(*keys, SLICE, *{*order, value}), keys,
+        sliced.select(*keys, SLICE, *dict.fromkeys([*order, value])), keys,
         F.max_by(value, F.struct(*order)).alias("_last"))
     before = lasts.select(
         *keys, SLICE, F.last("_last").over(earlier(keys)).alias("_before"))

@@ -36,14 +36,15 @@ def gauge_deltas(events: DataFrame, min_rows: int = slices.MIN_ROWS) -> DataFram
     ).where(F.col("step") != 0)
 
 
-def running_total(deltas: DataFrame, extent: DataFrame | None = None) -> DataFrame:
+def running_total(deltas: DataFrame, extent: DataFrame | None = None,
+                  rows_per_slice: int = slices.MIN_ROWS) -> DataFrame:
     """Number of running jobs after each step."""
-    return slices.running_sum(
-        deltas, [], ["ts", "event_id"], micros(F.col("ts")), "step", "running", extent=extent)
+    return slices.running_total(
+        deltas, ["ts", "event_id"], micros(F.col("ts")), "step", "running", extent, rows_per_slice)
 
 
 def running_jobs(events: DataFrame, min_rows: int = slices.MIN_ROWS) -> DataFrame:
-    return running_total(gauge_deltas(events, min_rows), lifecycle(events))
+    return running_total(gauge_deltas(events, min_rows), lifecycle(events), min_rows)
 
 
 def activity_bursts(events: DataFrame, max_events: int = C.BATCH_MAX_EVENTS,
@@ -59,11 +60,16 @@ def activity_bursts(events: DataFrame, max_events: int = C.BATCH_MAX_EVENTS,
     rows = events.select("job_id", "ts", "event_id", micros(F.col("ts")).alias("_at"))
     inside = slices.inside(keys, order)
 
-    local = slices.cut_hot_keys(rows, keys, F.col("_at"), min_rows).withColumns({
+    sliced, hot = slices.cut_hot_keys(rows, keys, F.col("_at"), min_rows)
+    local = sliced.withColumns({
         "_n": F.row_number().over(inside).cast("bigint"), "_prev": F.lag("_at").over(inside)})
     local = local.withColumn("_opens", F.when(F.col("_at") - F.col("_prev") > gap, F.col("_n")))
     local = local.withColumn("_start", F.max("_opens").over(slices.running(keys, order)))
 
+    if not hot:
+        start = F.coalesce("_start", F.lit(1))
+        return _fold_bursts(local, start, F.col("_n"), max_events)
+
     before = slices.earlier(keys)
     parts = slices.summaries(
         local.select("job_id", slices.SLICE, "_at", "_opens"), keys,
@@ -82,11 +88,15 @@ def activity_bursts(events: DataFrame, max_events: int = C.BATCH_MAX_EVENTS,
     start = F.coalesce(
         shift + F.col("_start"),
         F.when(F.coalesce("_fresh", F.lit(True)), shift + 1), F.col("_carried"))
-    number = shift + F.col("_n")
+    return _fold_bursts(
+        slices.carry(local, carried, keys), start, shift + F.col("_n"), max_events)
+
+
+def _fold_bursts(rows: DataFrame, start: Column, number: Column, max_events: int) -> DataFrame:
+    """One row per burst; a stretch longer than a burst is cut into parts."""
+    part = F.floor((number - start) / max_events).cast("bigint")
     return (
-        slices.carry(local, carried, keys)
-        .select("job_id", "ts", "event_id", start.alias("_start"),
-                F.floor((number - start) / max_events).cast("bigint").alias("part"))
+        rows.select("job_id", "ts", "event_id", start.alias("_start"), part.alias("part"))
         .groupBy("job_id", "_start", "part").agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
             F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"),

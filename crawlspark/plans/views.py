@@ -103,7 +103,7 @@ SELECT page_id AS fetch_id, {JOB.format('page_id % 20')} AS job_id,
     WHEN 5 THEN concat('<html><body><p>', url, '</p></body></html>') ELSE html END AS body,
   CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain; charset=ascii' END AS content_type,
   (page_id * 37) % 5000 AS dur_ms,
-  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 1020) AS fetched_at
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 17 % 2592000) AS fetched_at
 FROM pages"""),
 
     "judged_fetches": (["fetches"], r"""

@@ -142,7 +142,7 @@ def fetches_from(pages: DataFrame) -> DataFrame:
         ).alias("headers"),
         body.alias("body"),
         (page_id * 37 % 5000).alias("dur_ms"),
-        F.timestamp_seconds(epoch + page_id * 1020).cast("timestamp_ntz").alias("fetched_at"),
+        F.timestamp_seconds(epoch + page_id * 17 % 2592000).cast("timestamp_ntz").alias("fetched_at"),
         F.lit(False).alias("used_headless"),
     )
 
