@@ -59,7 +59,7 @@ def canonical_header(name: Column) -> Column:
         F.split(name, "-"),
         lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))),
     )
-    legal = name.rlike(r"^[!#$%&'*+\-.^_`|~0-9A-Za-z]+$")
+    legal = name.rlike(r"^[!#$%&'*+\-.^_`|~0-9A-Za-z]+\z")
     return F.when(legal, F.array_join(word, "-")).otherwise(name)
 
 

@@ -34,7 +34,7 @@ def run_status_of_stage(stage: Column) -> Column:
 
 def parse_status(text: Column) -> Column:
     """Run status named by a list filter; NULL if the name is not known."""
-    name = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    name = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""))
     return (
         F.when(name.isin("", "running"), "running")
         .when(name == "success", "success")
@@ -44,7 +44,7 @@ def parse_status(text: Column) -> Column:
 
 _HYPHENED = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 # Plain, urn:uuid: prefixed, enclosed in one character on each side, or bare hex.
-_UUID = rf"(?is)^(?:(?:urn:uuid:)?{_HYPHENED}|.{_HYPHENED}.|[0-9a-f]{{32}})$"
+_UUID = rf"(?is)^(?:(?:urn:uuid:)?{_HYPHENED}|.{_HYPHENED}.|[0-9a-f]{{32}})\z"
 
 
 def is_uuid(text: Column) -> Column:
@@ -55,8 +55,8 @@ def canonical_uuid(text: Column) -> Column:
     """Lower-case hyphened form of any accepted spelling; NULL otherwise."""
     digits = F.lower(F.translate(F.regexp_extract(
         text, rf"(?i)({_HYPHENED}|^[0-9a-f]{{32}}$)", 1), "-", ""))
-    cut = [F.substring(digits, a, n) for a, n in [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]]
-    return F.when(is_uuid(text), F.concat_ws("-", *cut))
+    hyphened = F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
+    return F.when(is_uuid(text), hyphened)
 
 
 def reports_progress(job_id: Column) -> Column:

@@ -21,18 +21,18 @@ _SPLIT = (
     r"(//[^/?#]*)?"                       # authority
     r"([^?#]*)"                           # path
     r"(\?[^#]*)?"                         # query
-    r"(#.*)?$"                            # fragment
+    r"(#.*)?\z"                            # fragment
 )
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 _CONTROL = r"[\x00-\x1F\x7F]"
 
 # Characters each part of a URL may hold or keep unescaped.
 _UNRESERVED = r"A-Za-z0-9\-_.~"
-_USER_LEGAL = rf"^[{_UNRESERVED}:!$&'()*+,;=%@]*$"
+_USER_LEGAL = rf"^[{_UNRESERVED}:!$&'()*+,;=%@]*\z"
 _USER_KEEP = rf"{_UNRESERVED}$&+,;="
 _HOST_KEEP = rf"{_UNRESERVED}!$&'()*+,;=:\[\]<>\""
-_HOST_LEGAL = rf"^(?:[{_HOST_KEEP}]|[^\x00-\x7F]|%25|%[89A-Fa-f][0-9A-Fa-f])*$"
-_PATH_LEGAL = rf"^[{_UNRESERVED}!$&'()*+,;=:@/\[\]%]*$"
+_HOST_LEGAL = rf"^(?:[{_HOST_KEEP}]|[^\x00-\x7F]|%25|%[89A-Fa-f][0-9A-Fa-f])*\z"
+_PATH_LEGAL = rf"^[{_UNRESERVED}!$&'()*+,;=:@/\[\]%]*\z"
 _PATH_KEEP = rf"{_UNRESERVED}$&+,/:;=@"
 _QUERY_KEEP = _UNRESERVED
 
@@ -40,11 +40,11 @@ _QUERY_KEEP = _UNRESERVED
 _PLAIN = (
     r"^[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.\-]+(?::[0-9]+)?"
     rf"(?:/[{_UNRESERVED}!$&'()*+,;=:@/\[\]]*)?"
-    rf"(?:\?[{_UNRESERVED}=&]*)?(?:#[^%]*)?$"
+    rf"(?:\?[{_UNRESERVED}=&]*)?(?:#[^%]*)?\z"
 )
 _TWO_EQUALS = r"=[^?&#]*="
 _PLAIN_HOST = (
-    r"^[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9.\-]+(?::[0-9]*)?(?:[/?#][^%\x00-\x1F\x7F]*)?$"
+    r"^[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9.\-]+(?::[0-9]*)?(?:[/?#][^%\x00-\x1F\x7F]*)?\z"
 )
 
 
@@ -72,7 +72,7 @@ def _encode_hex(hex_text: Column, keep: str, space_plus: bool = False) -> Column
     """Percent-encode bytes given as hex, leaving the characters in `keep`."""
     def byte(b: Column) -> Column:
         char = F.char(F.conv(b, 16, 10).cast("int"))
-        out = F.when(char.rlike(f"^[{keep}]$"), char)
+        out = F.when(char.rlike(rf"^[{keep}]\z"), char)
         if space_plus:
             out = out.when(b == "20", "+")
         return out.otherwise(F.concat(F.lit("%"), b))
@@ -83,7 +83,7 @@ def _encode_hex(hex_text: Column, keep: str, space_plus: bool = False) -> Column
 
 
 def _reencode(text: Column, keep: str, plus_is_space: bool = False) -> Column:
-    return F.when(text.rlike(f"^[{keep}]*$"), text).otherwise(
+    return F.when(text.rlike(rf"^[{keep}]*\z"), text).otherwise(
         _encode_hex(_byte_hex(text, plus_is_space), keep, plus_is_space)
     )
 
@@ -160,8 +160,8 @@ def _invalid(p: Column) -> Column:
         | ~p["user"].rlike(_USER_LEGAL)
         | p["user"].rlike(_BAD_ESCAPE)
         | ~host.rlike(_HOST_LEGAL)
-        | (bracketed & ~host.rlike(r"\](?::[0-9]*)?$"))
-        | (~bracketed & ~host.rlike(r"^[^:]*$|:[0-9]*$"))
+        | (bracketed & ~host.rlike(r"\](?::[0-9]*)?\z"))
+        | (~bracketed & ~host.rlike(r"^[^:]*\z|:[0-9]*\z"))
     )
 
 
@@ -184,8 +184,8 @@ def normalize_url(url: Column) -> Column:
     def render(p: Column) -> Column:
         host = F.lower(_decoded_host(p["host"]))
         host = (
-            F.when(p["scheme"] == "http", F.regexp_replace(host, r":80$", ""))
-            .when(p["scheme"] == "https", F.regexp_replace(host, r":443$", ""))
+            F.when(p["scheme"] == "http", F.regexp_replace(host, r":80\z", ""))
+            .when(p["scheme"] == "https", F.regexp_replace(host, r":443\z", ""))
             .otherwise(host)
         )
         host = _reencode_host(host)
@@ -234,7 +234,7 @@ def normalize_url(url: Column) -> Column:
 def _normalize_plain(url: Column) -> Column:
     """`normalize_url` for the usual shape, where nothing needs re-encoding."""
     base = F.lower(F.regexp_extract(url, r"^[^:]*://[^/?#]*", 0))
-    base = F.regexp_replace(base, r"^(http://.*):80$|^(https://.*):443$", "$1$2")
+    base = F.regexp_replace(base, r"^(http://.*):80\z|^(https://.*):443\z", "$1$2")
     path = F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
 
@@ -248,7 +248,7 @@ def _normalize_plain(url: Column) -> Column:
     ordered = F.transform(F.array_sort(F.transform(pairs, entry)), lambda p: p["text"])
     query = (
         F.when(query.isin("", "?"), query)
-        .when(query.rlike(r"^\?&+$"), "")
+        .when(query.rlike(r"^\?&+\z"), "")
         .otherwise(F.concat(F.lit("?"), F.array_join(ordered, "&")))
     )
     return F.concat(base, path, query)
@@ -256,7 +256,7 @@ def _normalize_plain(url: Column) -> Column:
 
 def _reencode_host(host: Column) -> Column:
     """Hosts may hold a literal percent sign after decoding, so encode the bytes."""
-    return F.when(host.rlike(f"^[{_HOST_KEEP}]*$"), host).otherwise(
+    return F.when(host.rlike(rf"^[{_HOST_KEEP}]*\z"), host).otherwise(
         _encode_hex(F.hex(host), _HOST_KEEP)
     )
 
@@ -276,7 +276,7 @@ def _host_of(url: Column) -> Column:
 
 
 def _strip_port(host: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^\[(.*)\]$", "$1")
+    return F.regexp_replace(F.regexp_replace(host, r":[0-9]*\z", ""), r"(?s)^\[(.*)\]\z", "$1")
 
 
 def extract_host(url: Column) -> Column:
@@ -286,9 +286,9 @@ def extract_host(url: Column) -> Column:
 
 def sanitize_host(host: Column) -> Column:
     """A host as a path segment."""
-    clean = F.lower(F.regexp_replace(F.coalesce(host, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    clean = F.lower(F.regexp_replace(F.coalesce(host, F.lit("")), r"(?U)^\s+|\s+\z", ""))
     clean = F.regexp_replace(clean, r"[^a-z0-9.:\-]", "-")
-    clean = F.regexp_replace(F.translate(clean, ":", "_"), r"^[\-_]+|[\-_]+$", "")
+    clean = F.regexp_replace(F.translate(clean, ":", "_"), r"^[\-_]+|[\-_]+\z", "")
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit(C.UNKNOWN))
 
 
