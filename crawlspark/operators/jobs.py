@@ -143,17 +143,17 @@ def job_results(jobs: DataFrame, pages: DataFrame) -> DataFrame:
 def fold_attempts(attempts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
     """Attempts per URL up to the first success, a context error or the limit."""
     n = F.col("attempt")
-    stop = F.when(F.col("result").isin("ok", "ctx"), n)
-    last = F.least(F.coalesce("stop", "latest"), F.lit(max_retries))
-    return (
-        attempts.where(n <= max_retries).groupBy("job_id", "pos", "url").agg(
-            F.min(stop).alias("stop"), F.max(n).alias("latest"), F.min_by("result", stop).alias("end"))
-        .select(
-            "job_id", "pos", "url",
-            F.when(F.col("end") == "ok", "success").when(F.col("end") == "ctx", "canceled")
-            .otherwise("exhausted").alias("outcome"),
-            (last + 1).cast("bigint").alias("attempts"), last.cast("bigint").alias("retries"))
-    )
+    # Numbers only in the aggregation, so that it can hash instead of sort.
+    folded = attempts.where(n <= max_retries).groupBy("job_id", "pos", "url").agg(
+        F.min(F.when(F.col("result") == "ok", n)).alias("ok"),
+        F.min(F.when(F.col("result") == "ctx", n)).alias("ctx"), F.max(n).alias("latest"))
+    never = F.lit(max_retries + 1)
+    ok, ctx = F.coalesce("ok", never), F.coalesce("ctx", never)
+    last = F.least(ok, ctx, F.col("latest"))
+    return folded.select(
+        "job_id", "pos", "url",
+        F.when(ok < ctx, "success").when(ctx < ok, "canceled").otherwise("exhausted").alias("outcome"),
+        (last + 1).cast("bigint").alias("attempts"), last.cast("bigint").alias("retries"))
 
 
 def retry_waits(attempts: DataFrame, base_ms: int = C.RETRY_BASE_MS) -> DataFrame:

@@ -202,19 +202,20 @@ def robots_outcome(attempts: DataFrame) -> DataFrame:
     answer stays open and the crawl goes on as if everything were allowed.
     """
     limit = len(C.ROBOTS_BACKOFF_MS)
-    settled = F.when(F.col("result") != "transient", F.col("attempt"))
-    folded = attempts.where(F.col("attempt") <= limit).groupBy("site").agg(
-        F.min(settled).alias("at"), F.min_by("result", settled).alias("end"),
-        F.max("attempt").alias("latest"))
-    last = F.coalesce("at", "latest")
-    open_end = F.col("at").isNull() & (F.col("latest") == limit)
+    n = F.col("attempt")
+    folded = attempts.where(n <= limit).groupBy("site").agg(
+        F.min(F.when(F.col("result") == "ok", n)).alias("ok"),
+        F.min(F.when(F.col("result") == "fatal", n)).alias("fatal"), F.max(n).alias("latest"))
+    ok, fatal = F.coalesce("ok", F.lit(limit + 1)), F.coalesce("fatal", F.lit(limit + 1))
+    last = F.least(ok, fatal, F.col("latest"))
+    open_end = (ok == fatal) & (F.col("latest") == limit)
     pauses = F.array(*[F.lit(sum(C.ROBOTS_BACKOFF_MS[:i])) for i in range(limit + 1)])
     return folded.select(
         "site",
-        F.when(F.col("end") == "ok", "fetched").when(F.col("end") == "fatal", "failed")
+        F.when(ok < fatal, "fetched").when(fatal < ok, "failed")
         .when(open_end, "indeterminate").otherwise("pending").alias("outcome"),
         F.when(open_end, C.ROBOTS_INDETERMINATE_REASON).otherwise("").alias("reason"),
-        (F.coalesce(F.col("end") == "ok", F.lit(False)) | open_end).alias("may_fetch"),
+        ((ok < fatal) | open_end).alias("may_fetch"),
         (last + 1).cast("bigint").alias("attempts"),
         F.element_at(pauses, last + 1).cast("bigint").alias("waited_ms"))
 

@@ -48,21 +48,23 @@ def foldable(events: DataFrame) -> DataFrame:
     return events.where(F.col("stage").isin(C.JOB_START, C.JOB_DONE, C.JOB_ERROR, C.FETCH_DONE))
 
 
-def site_deltas(events: DataFrame) -> DataFrame:
-    """Visits, bytes and latest time per job, site and status class.
-
-    Groups without visits and bytes are kept: a later batch may add to them.
-    `applied_deltas` drops what stays empty.
-    """
+def fetch_rows(events: DataFrame) -> DataFrame:
+    """Completed fetches in the shape of site deltas, one row each."""
     done = events.where((F.col("stage") == C.FETCH_DONE) & ~_blank("site"))
-    return done.groupBy("job_id", "site", "status_class").agg(
-        F.sum("visits").alias("visits"), F.sum("bytes").alias("bytes"), F.max("ts").alias("latest"))
+    return done.select("job_id", "site", "status_class", "visits", "bytes", F.col("ts").alias("latest"))
+
 
+def add_deltas(rows: DataFrame) -> DataFrame:
+    """Visits, bytes and latest time per job, site and status class."""
+    return rows.groupBy("job_id", "site", "status_class").agg(
+        F.sum("visits").alias("visits"), F.sum("bytes").alias("bytes"),
+        F.max("latest").alias("latest"))
 
-def add_deltas(deltas: DataFrame) -> DataFrame:
-    """Deltas of several batches, added up."""
-    return deltas.groupBy("job_id", "site", "status_class").agg(
-        F.sum("visits").alias("visits"), F.sum("bytes").alias("bytes"), F.max("latest").alias("latest"))
+
+def site_deltas(events: DataFrame) -> DataFrame:
+    """Deltas of a batch of events. Those without visits and bytes are kept, as
+    a later batch may add to them; `applied_deltas` drops what stays empty."""
+    return add_deltas(fetch_rows(events))
 
 
 def applied_deltas(deltas: DataFrame) -> DataFrame:
@@ -74,16 +76,31 @@ def site_delta_rejects(deltas: DataFrame) -> DataFrame:
     return applied_deltas(deltas).where(~F.col("status_class").isin(C.STATUS_CLASSES))
 
 
-def site_stats(deltas: DataFrame) -> DataFrame:
-    """Deltas turned into one row per job and site with a counter per class."""
-    known = applied_deltas(deltas).where(F.col("status_class").isin(C.STATUS_CLASSES))
-    per_class = [
-        F.sum(F.when(F.col("status_class") == c, F.col("visits")).otherwise(0)).alias(f"fetch_{c}")
-        for c in C.STATUS_CLASSES
-    ]
-    return known.groupBy(*SITE_KEYS).agg(
-        F.max("latest").alias("last_update"), F.sum("visits").alias("visits"),
-        F.sum("bytes").alias("bytes_total"), *per_class)
+def site_stats(rows: DataFrame) -> DataFrame:
+    """One row per job and site with a counter per class.
+
+    Takes fetch rows or deltas of any number of batches. All classes are summed
+    in one aggregation, so rows are shuffled once; classes that come to no
+    visits and no bytes are left out afterwards.
+    """
+    known = rows.where(F.col("status_class").isin(C.STATUS_CLASSES))
+    sums = []
+    for c in C.STATUS_CLASSES:
+        of_class = F.col("status_class") == c
+        sums += [
+            F.coalesce(F.sum(F.when(of_class, F.col("visits"))), F.lit(0)).alias(f"fetch_{c}"),
+            F.coalesce(F.sum(F.when(of_class, F.col("bytes"))), F.lit(0)).alias(f"_bytes_{c}"),
+            F.max(F.when(of_class, F.col("latest"))).alias(f"_latest_{c}"),
+        ]
+    counters = [F.col(f"fetch_{c}") for c in C.STATUS_CLASSES]
+    sizes = [F.col(f"_bytes_{c}") for c in C.STATUS_CLASSES]
+    latest = F.greatest(*[
+        F.when((F.col(f"fetch_{c}") != 0) | (F.col(f"_bytes_{c}") != 0), F.col(f"_latest_{c}"))
+        for c in C.STATUS_CLASSES])
+    return known.groupBy(*SITE_KEYS).agg(*sums).select(
+        *SITE_KEYS, latest.alias("last_update"), sum(counters[1:], counters[0]).alias("visits"),
+        sum(sizes[1:], sizes[0]).alias("bytes_total"), *counters,
+    ).where(F.col("last_update").isNotNull())
 
 
 def merge_site_stats(target: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -272,15 +272,15 @@ def site_delta_rejects(spark, folder):
 
 @query
 def site_stats(spark, folder):
-    return progress.site_stats(_deltas(spark, folder))
+    return progress.site_stats(progress.fetch_rows(_valid(spark, folder)))
 
 
 @query
 def merge_site_stats(spark, folder):
     middle = F.lit("2024-01-16").cast("timestamp_ntz")
     events = _valid(spark, folder)
-    old = progress.site_stats(progress.site_deltas(events.where(F.col("ts") < middle)))
-    return progress.merge_site_stats(old, progress.site_deltas(events.where(F.col("ts") >= middle)))
+    old = progress.site_stats(progress.fetch_rows(events.where(F.col("ts") < middle)))
+    return progress.merge_site_stats(old, progress.fetch_rows(events.where(F.col("ts") >= middle)))
 
 
 @query
@@ -337,12 +337,12 @@ def list_jobs(spark, folder):
 
 @query
 def list_job_sites(spark, folder):
-    return runs.list_job_sites(progress.site_stats(_deltas(spark, folder))).drop("rank")
+    return runs.list_job_sites(progress.site_stats(progress.fetch_rows(_valid(spark, folder)))).drop("rank")
 
 
 @query
 def top_sites_per_job(spark, folder):
-    return runs.list_job_sites(progress.site_stats(_deltas(spark, folder)), limit=3, offset=1)
+    return runs.list_job_sites(progress.site_stats(progress.fetch_rows(_valid(spark, folder))), limit=3, offset=1)
 
 
 @query
@@ -352,7 +352,7 @@ def job_dto(spark, folder):
 
 @query
 def site_dto(spark, folder):
-    return runs.site_json(progress.site_stats(_deltas(spark, folder)))
+    return runs.site_json(progress.site_stats(progress.fetch_rows(_valid(spark, folder))))
 
 
 @query

@@ -70,7 +70,7 @@ def site_stats_sink(path: str) -> Sink:
 
 
 def read_site_stats(spark: SparkSession, path: str) -> DataFrame:
-    return progress.site_stats(progress.add_deltas(deltas.read_batches(spark, path, SITE_DELTAS)))
+    return progress.site_stats(deltas.read_batches(spark, path, SITE_DELTAS))
 
 
 # --- job runs --------------------------------------------------------------
