@@ -263,7 +263,7 @@ def _reencode_host(host: Column) -> Column:
 
 def normalize_or_raw(url: Column) -> Column:
     """The form a crawl uses: normalised where possible, else as given."""
-    return F.coalesce(normalize_url(url), url)
+    return let(url, lambda u: F.coalesce(normalize_url(u), u))
 
 
 def _host_of(url: Column) -> Column:
@@ -295,7 +295,16 @@ def sanitize_host(host: Column) -> Column:
 def sanitize_site(url: Column) -> Column:
     """Metric label: lower-case host name without port."""
     full = F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("http://"), url))
-    return F.coalesce(F.nullif(F.lower(_strip_port(_host_of(full))), F.lit("")), F.lit(C.UNKNOWN))
+    host = let(full, _host_of)
+    return F.coalesce(F.nullif(F.lower(_strip_port(host)), F.lit("")), F.lit(C.UNKNOWN))
+
+
+def crawl_site(url: Column) -> Column:
+    """Metric label of a task's URL: `sanitize_site` of its normalised form."""
+    plain = url.rlike(_PLAIN) & ~url.rlike(_TWO_EQUALS)
+    return F.when(
+        plain, F.lower(F.regexp_extract(url, r"^[^:]*://([^/?#:]*)", 1))
+    ).otherwise(let(normalize_or_raw(url), sanitize_site))
 
 
 def limit_domain(url: Column) -> Column:

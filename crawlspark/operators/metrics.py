@@ -7,25 +7,19 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.times import window_start
-from ..functions.urls import normalize_or_raw, sanitize_site
+from ..functions.urls import crawl_site, sanitize_site
 
 RATE_WINDOW = 300  # seconds
 
 
 # --- counters --------------------------------------------------------------
 
-def _with_site(rows: DataFrame) -> DataFrame:
-    """Add the site label of a task's URL, normalised first as a crawl does."""
-    return rows.withColumn("norm_url", normalize_or_raw(F.col("url"))).withColumn(
-        "site", sanitize_site(F.col("norm_url")))
-
-
 def pages_total(attempts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Pages per site and status: failed attempts and failed writes are errors."""
     failed = attempts.where(F.col("result") != "ok").select("url", F.lit("error").alias("status"))
     ended = outcomes.where(F.col("outcome").isin("success", "persist_failed")).select(
         "url", F.when(F.col("outcome") == "success", "success").otherwise("error").alias("status"))
-    return _with_site(failed.unionByName(ended)).groupBy("site", "status").agg(
+    return failed.unionByName(ended).groupBy(crawl_site(F.col("url")).alias("site"), "status").agg(
         F.count(F.lit(1)).alias("pages"))
 
 
@@ -33,7 +27,7 @@ def bytes_total(outcomes: DataFrame) -> DataFrame:
     """Bytes per site of pages fetched, written or not."""
     fetched = outcomes.where(
         F.col("outcome").isin("success", "persist_failed") & (F.col("bytes") > 0))
-    return _with_site(fetched).groupBy("site").agg(F.sum("bytes").alias("bytes"))
+    return fetched.groupBy(crawl_site(F.col("url")).alias("site")).agg(F.sum("bytes").alias("bytes"))
 
 
 def jobs_total(jobs: DataFrame) -> DataFrame:

@@ -32,7 +32,17 @@ def reject_reason() -> Column:
 
 
 def valid_events(events: DataFrame) -> DataFrame:
-    return events.where(reject_reason().isNull())
+    """Events that break no rule. The rules are spelled out one by one, not read
+    off `reject_reason`, because simple conditions reach the Parquet scan."""
+    stage = F.col("stage")
+    fetch = stage.isin(C.FETCH_START, C.FETCH_DONE)
+    return events.where(
+        F.col("job_id").isNotNull() & ~F.col("job_id").isin("", C.NIL_UUID)
+        & F.col("ts").isNotNull()
+        & stage.isin(C.JOB_START, C.JOB_HEARTBEAT, C.JOB_DONE, C.JOB_ERROR, C.FETCH_START, C.FETCH_DONE)
+        & (~fetch | ~_blank("site"))
+        & ((stage != C.FETCH_DONE) | ~_blank("status_class"))
+        & (F.col("dur_ms").isNull() | (F.col("dur_ms") >= 0)))
 
 
 def event_rejects(events: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ def query(build: Query) -> Query:
     @wraps(build)
     def run(spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        derived.crawl_events.cache_clear()
         return build(spark, folder)
 
     QUERIES[build.__name__] = run
@@ -596,9 +597,11 @@ def bytes_rate(spark, folder):
 
 # --- streams ---------------------------------------------------------------
 
+# The paths are patterns, so that a table may be one file or a folder of files.
+
 def _event_stream(spark, folder):
     """Events as a stream, joined with the static pages."""
-    rows = tables.stream(spark, schemas.EVENTS, folder, "events.parquet")
+    rows = tables.stream(spark, schemas.EVENTS, f"{folder}/events.parque[t]")
     return derived.dirty_from(derived.progress_from(rows, tables.pages(spark, folder)))
 
 
@@ -634,7 +637,7 @@ def stream_running_jobs(spark, folder):
 @query
 def stream_pages_rate(spark, folder):
     path = new_run_dir(spark, "pages-rate")
-    rows = tables.stream(spark, schemas.EVENTS, folder, "events.parquet")
+    rows = tables.stream(spark, schemas.EVENTS, f"{folder}/events.parque[t]")
     seen = derived.observations_from(derived.progress_from(rows, tables.pages(spark, folder)))
     _run(
         progress_stream.stream_pages_rate(seen).writeStream.format("parquet").outputMode("append")
@@ -645,7 +648,7 @@ def stream_pages_rate(spark, folder):
 
 
 def _page_stream(spark, folder):
-    return derived.fetches_from(tables.stream(spark, schemas.PAGES, folder, "pages.parquet"))
+    return derived.fetches_from(tables.stream(spark, schemas.PAGES, f"{folder}/pages.parque[t]"))
 
 
 @query

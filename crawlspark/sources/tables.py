@@ -24,10 +24,10 @@ def progress_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROGRESS_EVENT).parquet(path)
 
 
-def stream(spark: SparkSession, schema, folder: str, glob: str = "*.parquet",
+def stream(spark: SparkSession, schema, path: str,
            files_per_trigger: int | None = None) -> DataFrame:
     """A file stream with a fixed schema; the trigger size bounds a micro-batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(path)
