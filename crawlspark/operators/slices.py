@@ -7,7 +7,8 @@ is carried forward over the slices of its key and added to its rows. Results
 are exact, only the work is split.
 
 Key sizes are counted first, in a job of its own. In the usual case that no key
-is hot, what remains is a plain window. At most `HOT_KEYS` keys can each hold
+is hot, what remains is a plain window. Otherwise the rows are written to the
+shared folder once, so that their source is not computed again. At most `HOT_KEYS` keys can each hold
 more than 1/`HOT_KEYS` of all rows, so the driver reads at most that many rows,
 and the carried table has at most `HOT_KEYS` x `SLICES` rows. Both may be
 broadcast. Cut points are quantiles of the position, hence slices of a key are
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import new_run_dir
+
 HOT_KEYS = 256
 SLICES = 256
 MIN_ROWS = 1_000_000  # keys below this size are cheap in one task
@@ -37,6 +40,12 @@ def _slice_of(position: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c <= position)) + 1
 
 
+def _with_slice(df: DataFrame, number: Column) -> DataFrame:
+    """Add the slice number. It comes out of a generator because the optimizer
+    infers a wrong join filter from an alias of a higher-order function."""
+    return df.select("*", F.explode(F.array(number)).alias(SLICE))
+
+
 def cut_hot_keys(df: DataFrame, keys: list[str], position: Column,
                  min_rows: int = MIN_ROWS) -> tuple[DataFrame, bool]:
     """Add `_slice`: 0 for ordinary keys, 1, 2, ... in position order for hot ones.
@@ -54,6 +63,10 @@ def cut_hot_keys(df: DataFrame, keys: list[str], position: Column,
     if not hot:
         return df.withColumn(SLICE, F.lit(0)), False
 
+    # From here on the rows are read several times: keep them in a table.
+    path = new_run_dir(spark, "sliced")
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
     key_types = T.StructType([df.schema[k] for k in keys])
     hot_keys = spark.createDataFrame(hot, key_types)
     measured = (
@@ -64,7 +77,7 @@ def cut_hot_keys(df: DataFrame, keys: list[str], position: Column,
         [tuple(r) for r in measured],
         T.StructType([*key_types.fields, T.StructField("_cuts", T.ArrayType(T.LongType()))]))
     number = F.when(F.col("_cuts").isNotNull(), _slice_of(position, F.col("_cuts"))).otherwise(0)
-    return df.join(F.broadcast(cuts), keys, "left").withColumn(SLICE, number).drop("_cuts"), True
+    return _with_slice(df.join(F.broadcast(cuts), keys, "left"), number).drop("_cuts"), True
 
 
 def cut_whole(df: DataFrame, position: Column, extent: DataFrame | None = None,
@@ -79,7 +92,7 @@ def cut_whole(df: DataFrame, position: Column, extent: DataFrame | None = None,
     cuts = (measured["cuts"] or [])[slices // wanted - 1::slices // wanted] if wanted > 1 else []
     if not cuts:
         return df.withColumn(SLICE, F.lit(1))
-    return df.withColumn(SLICE, _slice_of(position, F.array(*map(F.lit, cuts))))
+    return _with_slice(df, _slice_of(position, F.array(*map(F.lit, cuts))))
 
 
 def inside(keys: list[str], order: list) -> Window:
@@ -93,8 +106,8 @@ def running(keys: list[str], order: list) -> Window:
 
 
 def summaries(local: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    """One row per slice of a hot key. Ordinary keys need none; the filter on
-    the slice number reaches the scan side of the shuffle."""
+    """One row per slice of a hot key. Ordinary keys need none and are
+    left out before the shuffle."""
     return local.where(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(*aggregates)
 
 
