@@ -1,3 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import pivot_search
+
+ORACLES: dict[str, str] = {
+    "op1_pivot_search": pivot_search.ORACLE,
+}

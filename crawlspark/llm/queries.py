@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, pivot_search
 
 QUERIES = {
+    "op1_pivot_search": pivot_search.query,
     "op3_decontaminate": decontaminate.query,
 }
