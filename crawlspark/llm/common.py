@@ -24,6 +24,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow(rows: list[dict], schema: str) -> pa.RecordBatch:
+    """Rows as a record batch of the types that a Spark schema string names."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
+             "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(","))]
+    return pa.RecordBatch.from_pylist(rows, pa.schema(fields))
+
+
 def open_folder(path: str):
     """(file system, path) of a shared folder, for tasks that write or read files in it."""
     from pyarrow import fs

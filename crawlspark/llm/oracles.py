@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import pivot_search
+from . import chat, pivot_search
 
 ORACLES: dict[str, str] = {
     "op1_pivot_search": pivot_search.ORACLE,
+    "op9_chat": chat.ORACLE,
 }

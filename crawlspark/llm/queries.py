@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pivot_search
+from . import chat, decontaminate, packing, pivot_search, token_files
 
 QUERIES = {
     "op1_pivot_search": pivot_search.query,
     "op3_decontaminate": decontaminate.query,
+    "op7_token_files": token_files.query,
+    "op9_chat": chat.query,
+    "op10_packing": packing.query,
 }
