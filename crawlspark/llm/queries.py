@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pivot_search, token_files
+from . import (
+    chat,
+    decontaminate,
+    lsh_forest,
+    packing,
+    pii,
+    pivot_search,
+    repeats,
+    token_files,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_pivot_search": pivot_search.query,
+    "op2_toxicity": toxicity.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_warc": warc.query,
+    "op5_lsh_forest": lsh_forest.query,
+    "op6_repeats": repeats.query,
     "op7_token_files": token_files.query,
+    "op8_pii": pii.query,
     "op9_chat": chat.query,
     "op10_packing": packing.query,
 }
