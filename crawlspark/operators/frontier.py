@@ -21,7 +21,7 @@ def dedup_frontier(tasks: DataFrame) -> DataFrame:
 
 def filter_domains(tasks: DataFrame, allow: list[str] | Column, deny: list[str] | Column) -> DataFrame:
     """Tasks whose host is allowed. A rule matches the host and its subdomains;
-    deny wins; an empty allow list allows all."""
+    deny wins; an empty allow list allows all. A task without a host matches no rule."""
     host = F.lower(F.regexp_replace("host", r":[0-9]*$", ""))
 
     def matches(rules: list[str] | Column) -> Column:
@@ -30,7 +30,7 @@ def filter_domains(tasks: DataFrame, allow: list[str] | Column, deny: list[str]
                 rules, lambda r: (host == F.lower(r)) | host.endswith(F.concat(F.lit("."), F.lower(r)))),
                 F.lit(False))
         tests = [(host == r.lower()) | host.endswith("." + r.lower()) for r in rules]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
+        return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
     if isinstance(allow, Column):
         allowed = (F.coalesce(F.size(allow), F.lit(0)) <= 0) | matches(allow)
@@ -52,26 +52,22 @@ def apply_policy(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     }).drop("allow_fetch", "allow_headless")
 
 
-def cap_frontier(tasks: DataFrame, min_rows: int = slices.MIN_ROWS) -> DataFrame:
+def cap_frontier(tasks: DataFrame) -> DataFrame:
     """Tasks within depth, `domain_cap` per job and host and `max_pages` per job,
     first come first kept. A NULL cap sets no limit."""
-    ranked = slices.row_numbers(
-        filter_depth(tasks), ["job_id", "host"], ["pos"], F.col("pos"), "host_rank", min_rows)
+    ranked = slices.row_numbers(filter_depth(tasks), ["job_id", "host"], ["pos"], "host_rank")
     # A host can never place more than max_pages URLs, whatever its cap.
     within = ranked.where(
         F.col("host_rank") <= F.least(
             F.coalesce("domain_cap", F.lit((1 << 63) - 1)), F.coalesce("max_pages", F.lit((1 << 63) - 1))))
-    return slices.row_numbers(
-        within, ["job_id"], ["pos"], F.col("pos"), "job_rank", min_rows,
-    ).where(F.col("max_pages").isNull() | (F.col("job_rank") <= F.col("max_pages")))
+    return slices.row_numbers(within, ["job_id"], ["pos"], "job_rank").where(
+        F.col("max_pages").isNull() | (F.col("job_rank") <= F.col("max_pages")))
 
 
-def apply_budget(tasks: DataFrame, default_seconds: int = C.DEFAULT_BUDGET_SECONDS,
-                 min_rows: int = slices.MIN_ROWS) -> DataFrame:
+def apply_budget(tasks: DataFrame, default_seconds: int = C.DEFAULT_BUDGET_SECONDS) -> DataFrame:
     """URLs run one after the other; those due after the budget is used up are skipped."""
     budget = F.when(F.coalesce("budget_seconds", F.lit(0)) > 0, F.col("budget_seconds")).otherwise(default_seconds)
-    summed = slices.running_sum(
-        tasks, ["job_id"], ["pos"], F.col("pos"), "dur_ms", "until_ms", min_rows)
+    summed = slices.running_sum(tasks, ["job_id"], ["pos"], "dur_ms", "until_ms")
     started = F.col("until_ms") - F.col("dur_ms")
     return summed.select(
         "job_id", "pos", "url", started.alias("elapsed_ms"),

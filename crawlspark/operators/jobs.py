@@ -82,8 +82,8 @@ def templates_table(spark: SparkSession, templates: dict[str, dict]) -> DataFram
 def expand_templates(submissions: DataFrame, templates: DataFrame, **defaults) -> tuple[DataFrame, DataFrame]:
     """Jobs named after a template take its parameters; unknown names are returned apart."""
     named = submissions.where(F.col("template").isNotNull()).select("job_id", "submitted_at", "template")
-    jobs = resolve_params(named.join(F.broadcast(templates), "template"), **defaults)
-    unknown = named.join(F.broadcast(templates), "template", "left_anti").withColumn(
+    jobs = resolve_params(named.join(templates, "template"), **defaults)
+    unknown = named.join(templates, "template", "left_anti").withColumn(
         "reason", F.lit("standard job template not found"))
     return jobs, unknown
 

@@ -74,14 +74,18 @@ def _bound(value: float) -> str:
     return f"{value:g}"
 
 
-def histogram(df: DataFrame, seconds: Column, bounds: list[float], by: list[str]) -> DataFrame:
+def histogram(df: DataFrame, seconds: Column, bounds: list[float], by: list[str],
+              total: Column | None = None) -> DataFrame:
     """Cumulative histogram per label set: a row per bound and one for `+Inf`.
 
     All bounds are counted in one aggregation; only its result is unfolded.
+    `total` may give the sum of seconds from whole units, which don't depend on
+    the order of adding; otherwise seconds are summed as decimals.
     """
+    total = F.sum(seconds.cast("decimal(20,9)")).cast("double") if total is None else total
     counted = df.groupBy(*by).agg(
         *[F.count_if(seconds <= b).alias(f"_le{i}") for i, b in enumerate(bounds)],
-        F.count(F.lit(1)).alias("observations"), F.round(F.sum(seconds), 4).alias("sum_seconds"))
+        F.count(F.lit(1)).alias("observations"), F.round(total, 4).alias("sum_seconds"))
     buckets = [
         F.struct(F.lit(_bound(b)).alias("le"), F.col(f"_le{i}").alias("bucket_count"))
         for i, b in enumerate(bounds)
@@ -93,12 +97,14 @@ def histogram(df: DataFrame, seconds: Column, bounds: list[float], by: list[str]
 def job_runtime_hist(events: DataFrame) -> DataFrame:
     result = F.when(F.col("stage") == C.JOB_DONE, "success").when(F.col("stage") == C.JOB_ERROR, "error")
     ended = events.withColumn("result", result).where(F.col("result").isNotNull() & (F.col("dur_ms") > 0))
-    return histogram(ended, F.col("dur_ms") / 1000.0, C.JOB_RUNTIME_BOUNDS, ["result"])
+    return histogram(ended, F.col("dur_ms") / 1000.0, C.JOB_RUNTIME_BOUNDS, ["result"],
+                     F.sum("dur_ms") / 1000.0)
 
 
 def fetch_duration_hist(events: DataFrame) -> DataFrame:
     done = fetch_labels(events).where(F.col("dur_ms") > 0)
-    return histogram(done, F.col("dur_ms") / 1000.0, C.FETCH_DURATION_BOUNDS, ["site", "status_class"])
+    return histogram(done, F.col("dur_ms") / 1000.0, C.FETCH_DURATION_BOUNDS, ["site", "status_class"],
+                     F.sum("dur_ms") / 1000.0)
 
 
 def with_route(log: DataFrame) -> DataFrame:
@@ -112,7 +118,8 @@ def http_latency_hist(log: DataFrame) -> DataFrame:
 def rate_delay_hist(schedule: DataFrame) -> DataFrame:
     """Waits of more than a millisecond caused by the rate limiter."""
     waited = schedule.where(F.col("delay_us") > 1000)
-    return histogram(waited, F.col("delay_us") / 1e6, C.RATE_DELAY_BOUNDS, ["domain"])
+    return histogram(waited, F.col("delay_us") / 1e6, C.RATE_DELAY_BOUNDS, ["domain"],
+                     F.sum("delay_us") / 1e6)
 
 
 def quantile_from_buckets(df: DataFrame, seconds: Column, bounds: list[float], by: list[str],
@@ -142,11 +149,23 @@ def _windowed(df: DataFrame) -> DataFrame:
     return df.withColumn("window_start", window_start(F.col("ts"), RATE_WINDOW))
 
 
-def pages_rate(observations: DataFrame) -> DataFrame:
-    """Pages per second and site over five minutes, successes only."""
+def pages_counted(observations: DataFrame) -> DataFrame:
+    """Pages by site and window of five minutes, successes only."""
     succeeded = _windowed(observations.where(F.col("status") == "success"))
     return succeeded.groupBy("window_start", sanitize_site(F.col("url")).alias("site")).agg(
-        F.round(F.count(F.lit(1)) / RATE_WINDOW, 9).alias("pages_per_second"))
+        F.count(F.lit(1)).alias("pages"))
+
+
+def rate_of_pages(counts: DataFrame) -> DataFrame:
+    """Pages per second from such counts, which may come in parts."""
+    return counts.groupBy("window_start", "site").agg(
+        F.round(F.sum("pages") / RATE_WINDOW, 9).alias("pages_per_second"))
+
+
+def pages_rate(observations: DataFrame) -> DataFrame:
+    """Pages per second and site over five minutes, successes only."""
+    return pages_counted(observations).select(
+        "window_start", "site", F.round(F.col("pages") / RATE_WINDOW, 9).alias("pages_per_second"))
 
 
 def sliding_pages_rate(observations: DataFrame, step: int = 60) -> DataFrame:

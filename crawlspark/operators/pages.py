@@ -28,8 +28,13 @@ def final_responses(
         else content.should_promote(F.col("status_code"), F.col("body"), threshold))
     if allowed is not None:
         promote = promote & F.coalesce(allowed, F.lit(True))
+    promote = F.coalesce(promote, F.lit(False))  # no answer: the probe stays
     probes = probes.withColumn("requested_url", F.col("url"))
     swapped = ["url", "status_code", "headers", "body", "dur_ms", "used_headless"]
+    if "screenshot" in headless.columns:
+        swapped.append("screenshot")
+        if "screenshot" not in probes.columns:
+            probes = probes.withColumn("screenshot", F.lit(None).cast(headless.schema["screenshot"].dataType))
     rendered = headless.select("fetch_id", F.struct(*swapped).alias("h"))
     promoted = probes.where(promote).join(rendered, "fetch_id", "left").withColumns({
         c: F.when(F.col("h").isNotNull(), F.col(f"h.{c}")).otherwise(F.col(c)) for c in swapped
@@ -80,10 +85,20 @@ def retrievals(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("parent_ts"))
 
 
-def write_retrievals(rows: DataFrame, path: str) -> None:
-    """Append to a table partitioned by hour. A rebalance splits busy hours and
-    merges quiet ones, so files come out evenly sized."""
-    rows.hint("rebalance", "partition_ts").write.mode("append").partitionBy("partition_ts").parquet(path)
+def _write(rows: DataFrame, path: str, layout: list[str], run_id: str | None) -> None:
+    """Append; or, with the id of a run, replace what an earlier try of that run wrote."""
+    if run_id is None:
+        rows.write.mode("append").partitionBy(*layout).parquet(path)
+    else:
+        rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*layout, "run_id").parquet(path)
+
+
+def write_retrievals(rows: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add to a table partitioned by hour; a repeated run counts once if it has an id.
+    A rebalance splits busy hours and merges quiet ones, so files come out evenly sized.
+    All writes to a table either have ids or have none."""
+    _write(rows.hint("rebalance", "partition_ts"), path, ["partition_ts"], run_id)
 
 
 def notifications(pages: DataFrame, topic: str | None) -> DataFrame:
@@ -131,25 +146,26 @@ def artifact_manifest(pages: DataFrame) -> DataFrame:
 LAYOUT = ["yyyymm", "dd", "hh"]
 ARTIFACTS = (
     "id string, fetch_id bigint, job_id string, url string, body string, headers string,"
-    "meta string, blob_base string, host string, yyyymm string, dd string, hh string"
+    "meta string, screenshot binary, blob_base string, host string, yyyymm string, dd string, hh string"
 )
 
 
 def artifact_rows(responses: DataFrame, **options) -> DataFrame:
     """Pages with body, documents and layout columns, a row per page."""
     ts = F.col("fetched_at")
+    shot = F.col("screenshot") if "screenshot" in responses.columns else F.lit(None)
     return stored_pages(responses, keep_body=True, **options).select(
         "id", "fetch_id", "job_id", "url", "body",
         content.headers_json(F.col("headers")).alias("headers"),
         content.meta_json(
             F.col("url"), F.col("status_code"), F.col("size"), F.col("content_hash"),
             F.col("content_type"), F.col("job_id")).alias("meta"),
-        "blob_base", urls.sanitize_host(F.col("site")).alias("host"),
+        shot.cast("binary").alias("screenshot"), "blob_base", urls.sanitize_host(F.col("site")).alias("host"),
         F.date_format(ts, "yyyyMM").alias("yyyymm"),
         F.date_format(ts, "dd").alias("dd"), F.date_format(ts, "HH").alias("hh"))
 
 
-def write_artifacts(responses: DataFrame, path: str, **options) -> None:
+def write_artifacts(responses: DataFrame, path: str, run_id: str | None = None, **options) -> None:
     """Write bodies with their documents as Parquet, laid out by hour.
 
     One row per page instead of three small files. A folder per host would make
@@ -158,7 +174,7 @@ def write_artifacts(responses: DataFrame, path: str, **options) -> None:
     hours too large for one task.
     """
     rows = artifact_rows(responses, **options).hint("rebalance", *LAYOUT)
-    rows.sortWithinPartitions(*LAYOUT, "host").write.mode("append").partitionBy(*LAYOUT).parquet(path)
+    _write(rows.sortWithinPartitions(*LAYOUT, "host"), path, LAYOUT, run_id)
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
@@ -205,11 +221,9 @@ def dedup_by_hash(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("copies"))
 
 
-def number_pages(pages: DataFrame, min_rows: int = slices.MIN_ROWS) -> DataFrame:
+def number_pages(pages: DataFrame) -> DataFrame:
     """Pages of every job, numbered in the order they were stored."""
-    return slices.row_numbers(
-        pages, ["job_id"], ["fetched_at", "fetch_id"], times.micros(F.col("fetched_at")),
-        "seq", min_rows)
+    return slices.row_numbers(pages, ["job_id"], ["fetched_at", "fetch_id"], "seq")
 
 
 def list_pages(pages: DataFrame, job_id: str) -> DataFrame:

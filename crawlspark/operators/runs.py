@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import times
 from ..functions.status import parse_status, run_status_of_stage
 from ..functions.times import rfc3339
+from . import slices
 
 RUN_COLUMNS = ["id", "job_id", "started_at", "finished_at", "status", "error_message"]
 
@@ -115,13 +117,19 @@ def list_job_sites(stats: DataFrame, job_id: str | None = None, limit: int | Non
                    offset: int = 0) -> DataFrame:
     """Site statistics of a job, latest update first; of every job if none is named.
 
-    For every job the rank filter also runs before the shuffle, so a job with
-    many sites sends no more than one page per task.
+    A page of one job has a default and a largest size. Over all jobs every site
+    is listed unless a limit is given; then the rank filter also runs before the
+    shuffle, so a job with many sites sends no more than one page per task.
     """
-    limit, offset = _page(limit, offset, C.SITES_LIMIT, C.SITES_LIMIT_MAX)
     latest = [F.desc("last_update"), F.asc("site")]
     if job_id is not None:
+        limit, offset = _page(limit, offset, C.SITES_LIMIT, C.SITES_LIMIT_MAX)
         return stats.where(F.col("job_id") == job_id).orderBy(*latest).offset(offset).limit(limit)
+    _page(limit, offset, C.SITES_LIMIT, C.SITES_LIMIT_MAX)  # refuses what is not a limit or an offset
+    if limit is None:
+        keyed = stats.withColumn("_back", -times.micros(F.col("last_update")))
+        return slices.row_numbers(keyed, ["job_id"], ["_back", "site"], "rank").drop("_back").where(
+            F.col("rank") > offset).withColumn("rank", F.col("rank").cast("int"))
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(*latest))
     return (
         stats.withColumn("rank", rank).where(F.col("rank") <= offset + limit)

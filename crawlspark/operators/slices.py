@@ -1,186 +1,99 @@
-"""Ordered per-key computations that survive hot keys.
-
-A window over one key runs in one task, however large the key is. Keys that
-hold more than their share of the rows are therefore cut, by position, into
-slices. Window values are computed inside a slice; one summary row per slice
-is carried forward over the slices of its key and added to its rows. Results
-are exact, only the work is split.
-
-Key sizes are counted first, in a job of its own. In the usual case that no key
-is hot, what remains is a plain window. Otherwise the rows are written to the
-shared folder once, so that their source is not computed again. At most `HOT_KEYS` keys can each hold
-more than 1/`HOT_KEYS` of all rows, so the driver reads at most that many rows,
-and the carried table has at most `HOT_KEYS` x `SLICES` rows. Both may be
-broadcast. Cut points are quantiles of the position, hence slices of a key are
-of equal size; they only steer the work, never the result.
+"""Ordered per-key computations that don't depend on how rows spread over keys.
+
+A window over one key runs in one task, however large the key is. So rows are
+range-partitioned once, by key, position and tie-break, and kept in a table in
+the shared folder together with their partition number, which fixes the
+partitions. Values are computed inside a partition. A key that goes on from one
+partition to the next is carried on by one summary row per partition and key; of
+these at most one per partition has earlier rows, so what is broadcast has at
+most as many rows as there are partitions. Results are exact, and the plan is
+the same for any sizes of keys. The order must be total: ties are split like any
+other rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import new_run_dir
 
-HOT_KEYS = 256
-SLICES = 256
-MIN_ROWS = 1_000_000  # keys below this size are cheap in one task
-
-SLICE = "_slice"
-
-
-def _quantiles(position: str, parts: int) -> Column:
-    fractions = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return F.percentile_approx(position, fractions, F.lit(10_000))
-
-
-def _slice_of(position: Column, cuts: Column) -> Column:
-    """1 for positions below the first cut, and so on."""
-    return F.size(F.filter(cuts, lambda c: c <= position)) + 1
-
+PART = "_part"
 
-def _with_slice(df: DataFrame, number: Column) -> DataFrame:
-    """Add the slice number. It comes out of a generator because the optimizer
-    infers a wrong join filter from an alias of a higher-order function."""
-    return df.select("*", F.explode(F.array(number)).alias(SLICE))
 
-
-def cut_hot_keys(df: DataFrame, keys: list[str], position: Column,
-                 min_rows: int = MIN_ROWS) -> tuple[DataFrame, bool]:
-    """Add `_slice`: 0 for ordinary keys, 1, 2, ... in position order for hot ones.
-
-    `position` is a BIGINT that grows with the order the caller will use. The
-    second value says whether there are hot keys at all.
-    """
+def ordered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows in a table of fixed partitions, in order of `keys` and `order` from one to the next."""
     spark = df.sparkSession
-    total = Observation()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).observe(
-        total, F.sum("_rows").alias("rows"))
-    largest = sizes.where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(HOT_KEYS).collect()
-    rows = total.get["rows"] or 0
-    hot = [tuple(r[k] for k in keys) for r in largest if r["_rows"] * HOT_KEYS > rows]
-    if not hot:
-        return df.withColumn(SLICE, F.lit(0)), False
-
-    # From here on the rows are read several times: keep them in a table.
-    path = new_run_dir(spark, "sliced")
-    df.write.parquet(path)
-    df = spark.read.schema(df.schema).parquet(path)
-    key_types = T.StructType([df.schema[k] for k in keys])
-    hot_keys = spark.createDataFrame(hot, key_types)
-    measured = (
-        df.select(*keys, position.alias("_at")).join(F.broadcast(hot_keys), keys)
-        .groupBy(*keys).agg(_quantiles("_at", SLICES).alias("_cuts")).collect()
-    )
-    cuts = spark.createDataFrame(
-        [tuple(r) for r in measured],
-        T.StructType([*key_types.fields, T.StructField("_cuts", T.ArrayType(T.LongType()))]))
-    number = F.when(F.col("_cuts").isNotNull(), _slice_of(position, F.col("_cuts"))).otherwise(0)
-    return _with_slice(df.join(F.broadcast(cuts), keys, "left"), number).drop("_cuts"), True
-
-
-def cut_whole(df: DataFrame, position: Column, extent: DataFrame | None = None,
-              rows_per_slice: int = MIN_ROWS, slices: int = 1024) -> DataFrame:
-    """Slices over the whole table, for values that run over all rows.
-
-    `extent` may name a cheaper table whose positions are spread alike.
-    """
-    measured = (df if extent is None else extent).select(position.alias("_at")).agg(
-        F.count(F.lit(1)).alias("rows"), _quantiles("_at", slices).alias("cuts")).first()
-    wanted = max(1, min(slices, measured["rows"] // max(rows_per_slice, 1)))
-    cuts = (measured["cuts"] or [])[slices // wanted - 1::slices // wanted] if wanted > 1 else []
-    if not cuts:
-        return df.withColumn(SLICE, F.lit(1))
-    return _with_slice(df, _slice_of(position, F.array(*map(F.lit, cuts))))
+    path = new_run_dir(spark, "ordered")
+    spread = df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id())
+    spread.write.parquet(path)
+    return spark.read.schema(spread.schema).parquet(path)
 
 
 def inside(keys: list[str], order: list) -> Window:
-    """Rows of one slice in order."""
-    return Window.partitionBy(*keys, SLICE).orderBy(*order)
+    """Rows of a key in one partition, in order."""
+    return Window.partitionBy(PART, *keys).orderBy(*order)
 
 
 def running(keys: list[str], order: list) -> Window:
-    """Rows of one slice up to and including the current one."""
+    """Those rows up to and including the current one."""
     return inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def summaries(local: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    """One row per slice of a hot key. Ordinary keys need none and are
-    left out before the shuffle."""
-    return local.where(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(*aggregates)
+def earlier(keys: list[str]) -> Window:
+    """Summaries of the same key in earlier partitions."""
+    return Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def earlier(keys: list[str]) -> Window:
-    """The slices before this one, of the same key."""
-    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+def carried(summaries: DataFrame, keys: list[str], **values: Column) -> DataFrame:
+    """What comes into a partition from earlier ones; only for the keys that go on there."""
+    found = summaries.select(
+        PART, *keys, F.count(F.lit(1)).over(earlier(keys)).alias("_parts"),
+        *[v.alias(name) for name, v in values.items()])
+    return found.where(F.col("_parts") > 0).drop("_parts")
 
 
-def carry(local: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    """Give every row the summary carried into its slice; NULL for ordinary keys."""
-    return local.join(F.broadcast(carried), [*keys, SLICE], "left")
+def carry(local: DataFrame, coming: DataFrame, keys: list[str]) -> DataFrame:
+    """Give every row what is carried into its partition; NULL where nothing is."""
+    names = {c: f"_of_{c}" for c in [PART, *keys]}
+    renamed = coming.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [local[c].eqNullSafe(renamed[n]) for c, n in names.items()])
+    return local.join(F.broadcast(renamed), same, "left").drop(*names.values())
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list, position: Column, name: str,
-                min_rows: int = MIN_ROWS) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key in order, from 1."""
-    sliced, hot = cut_hot_keys(df, keys, position, min_rows)
-    local = sliced.withColumn(name, F.row_number().over(inside(keys, order)).cast("bigint"))
-    if not hot:
-        return local.drop(SLICE)
-    counts = summaries(sliced.select(*keys, SLICE), keys, F.count(F.lit(1)).alias("_n"))
-    before = counts.select(*keys, SLICE, F.sum("_n").over(earlier(keys)).alias("_before"))
-    return (
-        carry(local, before, keys)
-        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-        .drop("_before", SLICE)
-    )
-
-
-def _add_carried_sum(sliced: DataFrame, keys: list[str], order: list, value: str, name: str,
-                     hot: bool) -> DataFrame:
-    total = F.coalesce(F.sum(value).over(running(keys, order)), F.lit(0))
-    local = sliced.withColumn(name, total)
-    if not hot:
-        return local.drop(SLICE)
-    sums = summaries(sliced.select(*keys, SLICE, value), keys, F.sum(value).alias("_sum"))
-    before = sums.select(*keys, SLICE, F.sum("_sum").over(earlier(keys)).alias("_before"))
-    return (
-        carry(local, before, keys)
-        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-        .drop("_before", SLICE)
-    )
-
-
-def running_sum(df: DataFrame, keys: list[str], order: list, position: Column, value: str,
-                name: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    rows = ordered(df, keys, order)
+    local = rows.withColumn(name, F.row_number().over(inside(keys, order)).cast("bigint"))
+    counts = rows.groupBy(PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    coming = carried(counts, keys, _before=F.sum("_n").over(earlier(keys)))
+    return carry(local, coming, keys).withColumn(
+        name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", PART)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Sum of `value` over the rows of the key up to and including this one."""
-    sliced, hot = cut_hot_keys(df, keys, position, min_rows)
-    return _add_carried_sum(sliced, keys, order, value, name, hot)
+    rows = ordered(df, keys, order)
+    local = rows.withColumn(name, F.coalesce(F.sum(value).over(running(keys, order)), F.lit(0)))
+    sums = rows.groupBy(PART, *keys).agg(F.sum(value).alias("_sum"))
+    coming = carried(sums, keys, _before=F.sum("_sum").over(earlier(keys)))
+    return carry(local, coming, keys).withColumn(
+        name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", PART)
 
 
-def running_total(df: DataFrame, order: list, position: Column, value: str, name: str,
-                  extent: DataFrame | None = None, rows_per_slice: int = MIN_ROWS) -> DataFrame:
-    """Sum of `value` over all rows up to and including this one. Only the
-    slice sums, a thousand at most, pass through one task."""
-    sliced = cut_whole(df, position, extent, rows_per_slice)
-    return _add_carried_sum(sliced, [], order, value, name, True)
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of `value` over all rows up to and including this one. Only a sum per
+    partition passes through one task."""
+    return running_sum(df, [], order, value, name)
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], position: Column, value: str,
-             name: str, min_rows: int = MIN_ROWS) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """`value` of the preceding row of the key; NULL for the first. `value` has no NULLs."""
-    sliced, hot = cut_hot_keys(df, keys, position, min_rows)
-    local = sliced.withColumn(name, F.lag(value).over(inside(keys, order)))
-    if not hot:
-        return local.drop(SLICE)
-    lasts = summaries(
-        sliced.select(*keys, SLICE, *dict.fromkeys([*order, value])), keys,
-        F.max_by(value, F.struct(*order)).alias("_last"))
-    before = lasts.select(
-        *keys, SLICE, F.last("_last").over(earlier(keys)).alias("_before"))
-    return (
-        carry(local, before, keys)
-        .withColumn(name, F.coalesce(name, "_before"))
-        .drop("_before", SLICE)
-    )
+    rows = ordered(df, keys, order)
+    window = inside(keys, order)
+    local = rows.withColumn(name, F.lag(value).over(window))
+    lasts = rows.withColumn("_next", F.lead(F.lit(1)).over(window)).where(F.col("_next").isNull())
+    coming = carried(lasts, keys, _before=F.last(value).over(earlier(keys)))
+    return carry(local, coming, keys).withColumn(name, F.coalesce(name, "_before")).drop("_before", PART)

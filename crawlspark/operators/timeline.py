@@ -26,80 +26,64 @@ def gauge_step(stage: Column, before: Column) -> Column:
     )
 
 
-def gauge_deltas(events: DataFrame, min_rows: int = slices.MIN_ROWS) -> DataFrame:
+def gauge_deltas(events: DataFrame) -> DataFrame:
     """The events that change the set of running jobs, with their step."""
-    at = micros(F.col("ts"))
-    stepped = slices.previous(
-        lifecycle(events), ["job_id"], ["ts", "event_id"], at, "stage", "before", min_rows)
+    stepped = slices.previous(lifecycle(events), ["job_id"], ["ts", "event_id"], "stage", "before")
     return stepped.select(
         "job_id", "ts", "event_id", gauge_step(F.col("stage"), F.col("before")).alias("step")
     ).where(F.col("step") != 0)
 
 
-def running_total(deltas: DataFrame, extent: DataFrame | None = None,
-                  rows_per_slice: int = slices.MIN_ROWS) -> DataFrame:
+def running_jobs(events: DataFrame) -> DataFrame:
     """Number of running jobs after each step."""
-    return slices.running_total(
-        deltas, ["ts", "event_id"], micros(F.col("ts")), "step", "running", extent, rows_per_slice)
-
-
-def running_jobs(events: DataFrame, min_rows: int = slices.MIN_ROWS) -> DataFrame:
-    return running_total(gauge_deltas(events, min_rows), lifecycle(events), min_rows)
+    return slices.running_total(gauge_deltas(events), ["ts", "event_id"], "step", "running")
 
 
 def activity_bursts(events: DataFrame, max_events: int = C.BATCH_MAX_EVENTS,
-                    gap_ms: int = C.BATCH_MAX_WAIT_MS, min_rows: int = slices.MIN_ROWS) -> DataFrame:
+                    gap_ms: int = C.BATCH_MAX_WAIT_MS) -> DataFrame:
     """Events of a job grouped into bursts, closed by a quiet gap or by size.
 
     A row knows its burst from the number of the row that opened its stretch of
-    activity. For a hot job that number, the row count and the latest time are
-    carried from slice to slice.
+    activity. Where a job goes on in another partition, that number, the row
+    count and the latest time are carried there.
     """
     keys, order = ["job_id"], ["ts", "event_id"]
     gap = F.lit(gap_ms * 1000).cast("bigint")
-    rows = events.select("job_id", "ts", "event_id", micros(F.col("ts")).alias("_at"))
+    rows = slices.ordered(
+        events.select("job_id", "ts", "event_id", micros(F.col("ts")).alias("_at")), keys, order)
     inside = slices.inside(keys, order)
-
-    sliced, hot = slices.cut_hot_keys(rows, keys, F.col("_at"), min_rows)
-    local = sliced.withColumns({
+    local = rows.withColumns({
         "_n": F.row_number().over(inside).cast("bigint"), "_prev": F.lag("_at").over(inside)})
     local = local.withColumn("_opens", F.when(F.col("_at") - F.col("_prev") > gap, F.col("_n")))
     local = local.withColumn("_start", F.max("_opens").over(slices.running(keys, order)))
 
-    if not hot:
-        start = F.coalesce("_start", F.lit(1))
-        return _fold_bursts(local, start, F.col("_n"), max_events)
-
     before = slices.earlier(keys)
-    parts = slices.summaries(
-        local.select("job_id", slices.SLICE, "_at", "_opens"), keys,
+    parts = local.groupBy(slices.PART, *keys).agg(
         F.count(F.lit(1)).alias("_count"), F.min("_at").alias("_first"),
         F.max("_at").alias("_last"), F.max("_opens").alias("_opened"))
     parts = parts.withColumns({
-        "_before": F.coalesce(F.sum("_count").over(before), F.lit(0)),
-        "_fresh": F.coalesce(F.col("_first") - F.max("_last").over(before) > gap, F.lit(True)),
+        "_sum": F.coalesce(F.sum("_count").over(before), F.lit(0)),
+        "_apart": F.coalesce(F.col("_first") - F.max("_last").over(before) > gap, F.lit(True)),
     })
-    opened = F.coalesce(
-        F.col("_before") + F.col("_opened"), F.when(F.col("_fresh"), F.col("_before") + 1))
-    carried = parts.select(
-        "job_id", slices.SLICE, "_before", "_fresh", F.max(opened).over(before).alias("_carried"))
+    parts = parts.withColumn("_open", F.coalesce(
+        F.col("_sum") + F.col("_opened"), F.when(F.col("_apart"), F.col("_sum") + 1)))
+    coming = slices.carried(parts, keys, _before=F.col("_sum"), _fresh=F.col("_apart"),
+                            _carried=F.max("_open").over(before))
 
     shift = F.coalesce("_before", F.lit(0))
     start = F.coalesce(
         shift + F.col("_start"),
         F.when(F.coalesce("_fresh", F.lit(True)), shift + 1), F.col("_carried"))
-    return _fold_bursts(
-        slices.carry(local, carried, keys), start, shift + F.col("_n"), max_events)
-
-
-def _fold_bursts(rows: DataFrame, start: Column, number: Column, max_events: int) -> DataFrame:
-    """One row per burst; a stretch longer than a burst is cut into parts."""
-    part = F.floor((number - start) / max_events).cast("bigint")
+    number = shift + F.col("_n")
+    place = number - start
     return (
-        rows.select("job_id", "ts", "event_id", start.alias("_start"), part.alias("part"))
+        slices.carry(local, coming, keys)
+        .select("job_id", "ts", "event_id", start.alias("_start"),
+                F.floor(place / max_events).cast("bigint").alias("part"),
+                (place % max_events == 0).alias("_leads"))
         .groupBy("job_id", "_start", "part").agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-            F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"),
+            F.max(F.when(F.col("_leads"), F.col("event_id"))).alias("first_event"),
             F.count(F.lit(1)).alias("events"))
         .drop("_start")
     )

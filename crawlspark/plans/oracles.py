@@ -315,11 +315,7 @@ FROM observations WHERE bytes > 0 GROUP BY ALL""")
 for _stream, _batch in (("stream_site_stats", "site_stats"), ("stream_job_runs", "job_runs"),
                         ("stream_running_jobs", "running_jobs")):
     ORACLES[_stream] = ORACLES[_batch]
-# A window is only emitted once the watermark, ten minutes behind the latest row, has passed its end.
-oracle("stream_pages_rate", "observations", """
-SELECT * FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, site, round(count(*) / 300, 9) AS pages_per_second
-  FROM observations WHERE status = 'success' GROUP BY ALL) r
-WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM observations WHERE status = 'success') - INTERVAL 10 MINUTE""")
+ORACLES["stream_pages_rate"] = ORACLES["pages_rate"]
 
 _ID = """concat(substr(ms, 1, 8), '-', substr(ms, 9, 4), '-7', substr(h, 1, 3), '-',
   translate(substr(h, 4, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 5, 3), '-', substr(h, 8, 12))"""
@@ -329,7 +325,9 @@ _STREAMED = f"""(SELECT *, {_ID} AS id, regexp_extract(url, '^https?://([^/?#]*)
 oracle("stream_retrievals", "fetches", f"""
 SELECT id, job_id, url AS retrieval_url, sha256(body) AS retrieval_hashcode, folder || '/raw.html' AS retrieval_blob_location,
   CASE WHEN content_type IS NULL THEN '{{}}' ELSE CAST(json_object('Content-Type', json_array(content_type)) AS VARCHAR) END AS retrieval_headers,
-  status_code AS retrieval_status_code, date_trunc('hour', fetched_at) AS partition_ts
+  status_code AS retrieval_status_code, date_trunc('hour', fetched_at) AS partition_ts, job_started_at,
+  fetched_at AS retrieval_timestamp, coalesce(content_type, 'text/html; charset=utf-8') AS retrieval_content_type,
+  CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS TIMESTAMP) AS parent_ts
 FROM {_STREAMED}""")
 _STREAM_MESSAGE = _escaped(r"""CAST(json_object('crawl_id', id, 'html_blob', folder || '/raw.html', 'job_id', job_id,
   'meta_blob', folder || '/meta.json', 'schema_version', '1', 'site', site, 'url', regexp_replace(url, '#.*$', '')) AS VARCHAR)""")

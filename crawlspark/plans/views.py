@@ -1,5 +1,7 @@
 """The derived tables as DuckDB views, for checking query results."""
 
+from ..sources.derived import SECOND_FETCH
+
 JOB = "concat('00000000-0000-7000-8000-', lpad(CAST({} AS VARCHAR), 12, '0'))"
 
 # name -> (views it reads, SQL)
@@ -93,18 +95,20 @@ SELECT *, regexp_extract(raw_url, '^[A-Za-z]+://([^/?#]*)', 1) AS host,
 FROM url_variants"""),
 
     "fetches": ([], f"""
-SELECT page_id AS fetch_id, {JOB.format('page_id % 20')} AS job_id,
+SELECT page_id + variant * {SECOND_FETCH} AS fetch_id, {JOB.format('page_id % 20')} AS job_id,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(page_id % 20 AS INT)) AS job_started_at, url,
-  CASE page_id % 10 WHEN 8 THEN 404 WHEN 9 THEN 503 ELSE 200 END AS status_code,
-  CASE page_id % 6 WHEN 1 THEN ''
-    WHEN 2 THEN '<html><script>var a=1;</script><p>t</p></html>'
-    WHEN 3 THEN concat(html, '<div id="root"></div>')
-    WHEN 4 THEN concat('<SCRIPT>', html)
-    WHEN 5 THEN concat('<html><body><p>', url, '</p></body></html>') ELSE html END AS body,
+  CASE page_id % 10 WHEN 8 THEN 404 WHEN 9 THEN 503 ELSE 200 END AS status_code, body,
   CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain; charset=ascii' END AS content_type,
   (page_id * 37) % 5000 AS dur_ms,
   TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 17 % 2592000) AS fetched_at
-FROM pages"""),
+FROM (SELECT page_id, url, CAST(0 AS BIGINT) AS variant, CASE page_id % 6
+    WHEN 3 THEN concat(html, '<div id="root"></div>') WHEN 4 THEN concat('<SCRIPT>', html) ELSE html END AS body
+  FROM pages
+  UNION ALL
+  SELECT page_id, url, 1, CASE page_id % 6 WHEN 1 THEN ''
+    WHEN 2 THEN '<html><script>var a=1;</script><p>t</p></html>'
+    ELSE concat('<html><body><p>', url, '</p></body></html>') END
+  FROM pages WHERE page_id % 6 IN (1, 2, 5)) p"""),
 
     "judged_fetches": (["fetches"], r"""
 SELECT *, CAST(strlen(body) - strlen(regexp_replace(body, '(?is)<script[^>]*(?:>.*?(?:</script>|\z)|\z)', '', 'g')) AS BIGINT) AS coverage,

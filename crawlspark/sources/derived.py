@@ -123,21 +123,35 @@ def url_variants(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Added to the page's number for the second fetch that some pages have.
+SECOND_FETCH = 1 << 40
+
+
 def fetches_from(pages: DataFrame) -> DataFrame:
-    """Fetch responses with a body for every branch of the promotion rule."""
-    page_id, url, html = F.col("page_id"), F.col("url"), F.col("html")
-    body = (
-        F.when(page_id % 6 == 1, "")
-        .when(page_id % 6 == 2, "<html><script>var a=1;</script><p>t</p></html>")
-        .when(page_id % 6 == 3, F.concat(html, F.lit('<div id="root"></div>')))
-        .when(page_id % 6 == 4, F.concat(F.lit("<SCRIPT>"), html))
-        .when(page_id % 6 == 5, F.concat(F.lit("<html><body><p>"), url, F.lit("</p></body></html>")))
+    """Fetch responses with a body for every branch of the promotion rule.
+
+    Every page gives a response with its whole text; some give a second one with
+    an empty or a short body.
+    """
+    html = F.col("html")
+    number = F.col("page_id") % 6
+    whole = (
+        F.when(number == 3, F.concat(html, F.lit('<div id="root"></div>')))
+        .when(number == 4, F.concat(F.lit("<SCRIPT>"), html))
         .otherwise(html)
     )
+    second = (
+        F.when(number == 1, "")
+        .when(number == 2, "<html><script>var a=1;</script><p>t</p></html>")
+        .when(number == 5, F.concat(F.lit("<html><body><p>"), F.col("url"), F.lit("</p></body></html>")))
+    )
+    pages = pages.select("page_id", "url", F.posexplode(
+        F.when(number.isin(1, 2, 5), F.array(whole, second)).otherwise(F.array(whole))).alias("variant", "body"))
+    page_id = F.col("page_id")
     kind = F.when(page_id % 3 == 0, "text/html").when(page_id % 3 == 1, "text/plain; charset=ascii")
     epoch = F.lit(1704067200).cast("bigint")  # 2024-01-01 00:00:00 UTC
     return pages.select(
-        page_id.alias("fetch_id"),
+        (page_id + F.col("variant") * F.lit(SECOND_FETCH)).alias("fetch_id"),
         job_id_of(page_id % 20).alias("job_id"),
         F.timestamp_seconds(epoch + page_id % 20 * 3600).cast("timestamp_ntz").alias("job_started_at"),
         "url",
@@ -145,7 +159,7 @@ def fetches_from(pages: DataFrame) -> DataFrame:
         content.response_headers(
             F.when(kind.isNotNull(), F.create_map(F.lit("Content-Type"), F.array(kind)))
         ).alias("headers"),
-        body.alias("body"),
+        "body",
         (page_id * 37 % 5000).alias("dur_ms"),
         F.timestamp_seconds(epoch + page_id * 17 % 2592000).cast("timestamp_ntz").alias("fetched_at"),
         F.lit(False).alias("used_headless"),

@@ -110,3 +110,13 @@ def test_domains_and_policy(spark):
     rules = spark.createDataFrame([("a.com", False, None), ("b.org", True, False)], "host string, allow_fetch boolean, allow_headless boolean")
     got = {r.host: (r.fetch_allowed, r.headless_allowed) for r in frontier.apply_policy(df, rules).collect()}
     assert got["a.com"] == (False, True) and got["b.org"] == (True, False) and got["ba.com"] == (True, True)
+
+
+def test_tasks_without_a_host(spark):
+    from crawlspark.operators import frontier
+
+    df = spark.createDataFrame([("a.com",), ("b.com",), (None,)], "host string")
+    left = lambda allow, deny: sorted(str(r[0]) for r in frontier.filter_domains(df, allow, deny).collect())
+    assert left([], ["a.com"]) == ["None", "b.com"]
+    assert left(["a.com"], []) == ["a.com"]
+    assert left([], []) == ["None", "a.com", "b.com"]

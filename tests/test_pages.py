@@ -66,6 +66,24 @@ def test_artifacts_round_trip(spark, folder, tmp_path):
     assert set(back.select("yyyymm").distinct().toPandas()["yyyymm"]) == {"202401"}
 
 
+def test_a_repeated_run_counts_once(spark, folder, tmp_path):
+    rows = pages.retrievals(pages.stored_pages(derived.fetches(spark, folder)))
+    for run in ("a", "a", "b"):
+        pages.write_retrievals(rows, f"{tmp_path}/r", run)
+        pages.write_artifacts(derived.fetches(spark, folder), f"{tmp_path}/a", run)
+    assert spark.read.parquet(f"{tmp_path}/r").count() == 2 * rows.count()
+    assert pages.read_artifacts(spark, f"{tmp_path}/a").count() == 2 * rows.count()
+
+
+def test_no_page_is_lost_without_an_answer(spark, folder):
+    probes = derived.fetches(spark, folder)
+    rendered = derived.headless_fetches(spark, folder).withColumn("screenshot", F.lit(b"png"))
+    some = F.when(F.col("fetch_id") % 2 == 0, F.col("fetch_id") % 4 == 2)
+    got = pages.final_responses(probes, rendered, detector=lambda status, body: some)
+    assert got.count() == probes.count()
+    assert got.where("screenshot IS NOT NULL").count() == got.where("used_headless").count() > 0
+
+
 def test_reading_a_folder_tree(spark, tmp_path):
     base = tmp_path / "crawl/202507/04/09/host=a.com/id=p1"
     base.mkdir(parents=True)

@@ -146,3 +146,13 @@ def test_ensure_job_runs(spark):
     assert sorted((r.id, r.started_at, r.status) for r in got) == sorted([
         ("j0", START, "running"), ("j1", START + timedelta(hours=1), "success"),
         ("new", START, "running"), ("j0", START + timedelta(days=9), "running")])
+
+
+def test_all_sites_of_all_jobs_are_listed(spark):
+    from crawlspark.operators import runs
+
+    stats = spark.range(1500).selectExpr(
+        "'j' || id % 2 AS job_id", "'s' || lpad(id, 5, '0') AS site", "timestamp_ntz'2024-01-01 00:00:00' AS last_update")
+    got = runs.list_job_sites(stats).collect()
+    assert len(got) == 1500 and max(r["rank"] for r in got) == 750
+    assert all(r["rank"] == int(r["site"][1:]) // 2 + 1 for r in got)

@@ -1,8 +1,10 @@
-"""Skewed inputs: one key holds a third of the rows, and all keys are cut as if large."""
+"""Skewed inputs: one key holds a third of the rows; one partition or many."""
 
+import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,18 @@ from crawlspark.operators import frontier, ratelimit, slices, timeline
 START = datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True, params=[1, 9])
+def partitions(request, spark):
+    """As many partitions as asked for, however few the rows."""
+    before = {c: spark.conf.get(c) for c in (
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    for c, v in before.items():
+        spark.conf.set(c, v)
+
+
 def skewed(n=3000, keys=40, seed=1):
     rng = random.Random(seed)
     rows = []
@@ -35,23 +49,21 @@ def by_key(rows):
     return groups
 
 
-def test_hot_keys_are_cut_evenly(table):
-    rows, df = table
-    sliced, hot = slices.cut_hot_keys(df, ["k"], F.col("at"), min_rows=500)
-    assert hot
-    sizes = {tuple(r)[:2]: r["count"] for r in sliced.groupBy("k", "_slice").count().collect()}
-    assert {k for (k, s) in sizes if s > 0} == {"hot"}
-    assert max(n for (k, s), n in sizes.items() if k == "hot") < 200
-    _, hot = slices.cut_hot_keys(df, ["k"], F.col("at"))
-    assert not hot
+@pytest.mark.parametrize("kind", ["a third in one key", "one position", "many large keys"])
+def test_partitions_are_even(spark, partitions, kind):
+    rows = {"a third in one key": skewed(), "one position": [("hot", 5, i, 1) for i in range(3000)],
+            "many large keys": [(f"k{i % 300}", i // 300, i, 1) for i in range(6000)]}[kind]
+    df = spark.createDataFrame(rows, "k string, at bigint, seq bigint, v bigint").repartition(7)
+    sizes = [r["count"] for r in slices.ordered(df, ["k"], ["at", "seq"]).groupBy(slices.PART).count().collect()]
+    assert len(sizes) == partitions
+    assert max(sizes) < 2 * len(rows) / partitions
 
 
-@pytest.mark.parametrize("min_rows", [0, 500, 10**9])
-def test_row_numbers_and_sums(table, min_rows):
+def test_row_numbers_and_sums(table):
     rows, df = table
-    numbered = slices.row_numbers(df, ["k"], ["at", "seq"], F.col("at"), "n", min_rows)
-    summed = slices.running_sum(numbered, ["k"], ["at", "seq"], F.col("at"), "v", "total", min_rows)
-    before = slices.previous(summed, ["k"], ["at", "seq"], F.col("at"), "v", "before", min_rows)
+    numbered = slices.row_numbers(df, ["k"], ["at", "seq"], "n")
+    summed = slices.running_sum(numbered, ["k"], ["at", "seq"], "v", "total")
+    before = slices.previous(summed, ["k"], ["at", "seq"], "v", "before")
     got = {r.seq: (r.n, r.total, r.before) for r in before.collect()}
     want = {}
     for group in by_key(rows).values():
@@ -63,11 +75,15 @@ def test_row_numbers_and_sums(table, min_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("rows_per_slice", [10, 10**9])
-def test_running_total(table, rows_per_slice):
+def test_null_keys_are_a_key(spark):
+    df = spark.createDataFrame([(None, i) for i in range(200)] + [("a", i) for i in range(50)], "k string, at bigint")
+    got = slices.row_numbers(df, ["k"], ["at"], "n").collect()
+    assert all(r.n == r.at + 1 for r in got) and len(got) == 250
+
+
+def test_running_total(table):
     rows, df = table
-    got = slices.running_total(
-        df, ["at", "seq"], F.col("at"), "v", "total", rows_per_slice=rows_per_slice)
+    got = slices.running_total(df, ["at", "seq"], "v", "total")
     total, want = 0, {}
     for row in sorted(rows, key=lambda r: (r[1], r[2])):
         total += row[3]
@@ -75,15 +91,14 @@ def test_running_total(table, rows_per_slice):
     assert {r.seq: r.total for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
-@pytest.mark.parametrize("rate,burst", [(0.5, 3), (10, 1), (2, 0)])
-def test_rate_limit(spark, min_rows, rate, burst):
+@pytest.mark.parametrize("rate,burst", [(0.5, 3), (10, 1), (2, 0), (3, 1), (7, 2), (3e6, 1)])
+def test_rate_limit(spark, rate, burst):
     rows = [(k, at * 1_000_000, seq) for k, at, seq, _ in skewed(1500, 10, 5)]
     df = spark.createDataFrame(rows, "domain string, arrival_us bigint, seq bigint")
-    got = {r.seq: r.admitted_us for r in ratelimit.rate_limit(df, rate, burst, min_rows).collect()}
+    got = {r.seq: r.admitted_us for r in ratelimit.rate_limit(df, rate, burst).collect()}
 
-    # A token bucket, one request after the other, in whole microseconds.
-    interval, size, want = round(1e6 / rate), max(burst, 1), {}
+    # A token bucket, one request after the other, in exact fractions of microseconds.
+    interval, size, want = 1_000_000 / Fraction(rate), max(burst, 1), {}
     for group in by_key(rows).values():
         tokens, last = size * interval, None  # tokens in units of 1/interval
         for _, at, seq in group:
@@ -91,10 +106,16 @@ def test_rate_limit(spark, min_rows, rate, burst):
                 tokens = min(size * interval, tokens + at - last)
             last = at
             tokens -= interval
-            want[seq] = at + max(0, -tokens)
+            want[seq] = at + max(0, math.ceil(-tokens))
     assert got == want
 
 
+def test_rate_limit_does_not_drift(spark):
+    df = spark.range(100_000).selectExpr("'a' AS domain", "0L AS arrival_us", "id AS seq")
+    last = ratelimit.rate_limit(df, 3, 1).selectExpr("max(admitted_us)").first()[0]
+    assert last == math.ceil(Fraction(99_999 * 1_000_000, 3))
+
+
 def test_rate_limit_cases(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 0, 2), ("b", 0, 3)], "domain string, arrival_us bigint, seq bigint")
     assert {r.seq: r.delay_us for r in ratelimit.rate_limit(df, 10, 1).collect()} == {1: 0, 2: 100_000, 3: 0}
@@ -108,11 +129,10 @@ def events_of(spark, rows, stage_of):
     return made, spark.createDataFrame(made, "job_id string, ts timestamp_ntz, event_id bigint, stage string")
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
-def test_running_jobs(spark, min_rows):
+def test_running_jobs(spark):
     stages = ["JOB_START", "JOB_DONE", "JOB_ERROR", "FETCH_DONE", "JOB_START"]
     made, df = events_of(spark, skewed(2000, 30, 9), lambda v: stages[v % 5])
-    got = {r.event_id: (r.step, r.running) for r in timeline.running_jobs(df, min_rows).collect()}
+    got = {r.event_id: (r.step, r.running) for r in timeline.running_jobs(df).collect()}
     running, want = set(), {}
     for job, _, event, stage in sorted(made, key=lambda e: (e[1], e[2])):
         if stage == "JOB_START" and job not in running:
@@ -124,11 +144,10 @@ def test_running_jobs(spark, min_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
 @pytest.mark.parametrize("largest,gap", [(4, 20), (1000, 3), (2, 10**6)])
-def test_activity_bursts(spark, min_rows, largest, gap):
+def test_activity_bursts(spark, largest, gap):
     made, df = events_of(spark, skewed(2000, 30, 11), lambda v: "FETCH_DONE")
-    got = timeline.activity_bursts(df, largest, gap * 1000, min_rows).collect()
+    got = timeline.activity_bursts(df, largest, gap * 1000).collect()
     want = []
     groups = defaultdict(list)
     for event in sorted(made, key=lambda e: (e[1], e[2])):
@@ -149,8 +168,7 @@ def test_activity_bursts(spark, min_rows, largest, gap):
     assert sorted((r.job_id, r.first_event, r.events) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
-def test_cap_frontier_and_budget(spark, min_rows):
+def test_cap_frontier_and_budget(spark):
     rng = random.Random(2)
     rows = []
     for pos in range(2500):
@@ -174,5 +192,5 @@ def test_cap_frontier_and_budget(spark, min_rows):
         per_job[job] += 1
         if most is None or per_job[job] <= most:
             kept.add(pos)
-    assert {r.pos for r in frontier.cap_frontier(df, min_rows).collect()} == kept
-    assert {r.pos: r.decision for r in frontier.apply_budget(df, min_rows=min_rows).collect()} == decided
+    assert {r.pos for r in frontier.cap_frontier(df).collect()} == kept
+    assert {r.pos: r.decision for r in frontier.apply_budget(df).collect()} == decided
