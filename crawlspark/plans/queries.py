@@ -597,12 +597,24 @@ def bytes_rate(spark, folder):
 
 # --- streams ---------------------------------------------------------------
 
-# The paths are patterns, so that a table may be one file or a folder of files.
+# Every stream reads its table in several files of shared storage, a file per batch and
+# not in the order of time, so that folds over batches are put to the test.
+
+STREAM_FILES = 4
+
+
+def _files(spark, folder, name, schema, key):
+    """A given table as a stream of files, dealt by a hash of its key."""
+    path = new_run_dir(spark, f"{name}-files")
+    tables_of = {"events": tables.events, "pages": tables.pages}
+    tables_of[name](spark, folder).repartition(STREAM_FILES, F.xxhash64(key)).write.parquet(path)
+    return tables.stream(spark, schema, path, files_per_trigger=1)
+
 
 def _event_stream(spark, folder):
     """Events as a stream, joined with the static pages."""
-    rows = tables.stream(spark, schemas.EVENTS, f"{folder}/events.parque[t]")
-    return derived.dirty_from(derived.progress_from(rows, tables.pages(spark, folder)))
+    rows = _files(spark, folder, "events", schemas.EVENTS, "event_id")
+    return derived.progress_from(rows, tables.pages(spark, folder))
 
 
 def _run(stream_query):
@@ -612,7 +624,7 @@ def _run(stream_query):
 def _progress(spark, folder, name, sink):
     path = new_run_dir(spark, name)
     _run(progress_stream.run_progress(
-        _event_stream(spark, folder), {name: sink(f"{path}/out")}, f"{path}/checkpoint"))
+        derived.dirty_from(_event_stream(spark, folder)), {name: sink(f"{path}/out")}, f"{path}/checkpoint"))
     return f"{path}/out"
 
 
@@ -637,28 +649,21 @@ def stream_running_jobs(spark, folder):
 @query
 def stream_pages_rate(spark, folder):
     path = new_run_dir(spark, "pages-rate")
-    rows = tables.stream(spark, schemas.EVENTS, f"{folder}/events.parque[t]")
-    seen = derived.observations_from(derived.progress_from(rows, tables.pages(spark, folder)))
-    _run(
-        progress_stream.stream_pages_rate(seen).writeStream.format("parquet").outputMode("append")
-        .option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start())
-    return spark.read.schema(
-        "window_start timestamp_ntz, site string, pages_per_second double").parquet(f"{path}/out")
+    seen = derived.observations_from(_event_stream(spark, folder))
+    _run(progress_stream.run_batches(
+        seen, {"rates": progress_stream.pages_rate_sink(f"{path}/out")}, f"{path}/checkpoint"))
+    return progress_stream.read_pages_rate(spark, f"{path}/out")
 
 
 def _page_stream(spark, folder):
-    return derived.fetches_from(tables.stream(spark, schemas.PAGES, f"{folder}/pages.parque[t]"))
+    return derived.fetches_from(_files(spark, folder, "pages", schemas.PAGES, "page_id"))
 
 
 @query
 def stream_retrievals(spark, folder):
     path = new_run_dir(spark, "retrievals")
     _run(page_stream.stream_retrievals(_page_stream(spark, folder), f"{path}/out", f"{path}/checkpoint"))
-    return spark.read.schema(
-        "id string, job_id string, retrieval_url string, retrieval_hashcode string,"
-        "retrieval_blob_location string, retrieval_headers string, retrieval_status_code int,"
-        "partition_ts timestamp_ntz").parquet(f"{path}/out")
+    return tables.retrievals(spark, f"{path}/out")
 
 
 @query

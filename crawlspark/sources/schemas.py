@@ -43,3 +43,19 @@ FETCH_RESPONSE = T.StructType([
     T.StructField("fetched_at", T.TimestampNTZType()),
     T.StructField("used_headless", T.BooleanType()),
 ])
+
+RETRIEVAL = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("job_id", T.StringType()),
+    T.StructField("job_started_at", T.TimestampNTZType()),
+    T.StructField("retrieval_timestamp", T.TimestampNTZType()),
+    T.StructField("retrieval_url", T.StringType()),
+    T.StructField("retrieval_hashcode", T.StringType()),
+    T.StructField("retrieval_blob_location", T.StringType()),
+    T.StructField("retrieval_headers", T.StringType()),
+    T.StructField("retrieval_status_code", T.IntegerType()),
+    T.StructField("retrieval_content_type", T.StringType()),
+    T.StructField("parent_id", T.StringType()),
+    T.StructField("parent_ts", T.TimestampNTZType()),
+    T.StructField("partition_ts", T.TimestampNTZType()),
+])

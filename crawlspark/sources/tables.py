@@ -24,6 +24,11 @@ def progress_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROGRESS_EVENT).parquet(path)
 
 
+def retrievals(spark: SparkSession, path: str) -> DataFrame:
+    """Stored retrieval rows; filters on `partition_ts` skip folders."""
+    return spark.read.schema(schemas.RETRIEVAL).parquet(path).select(*schemas.RETRIEVAL.names)
+
+
 def stream(spark: SparkSession, schema, path: str,
            files_per_trigger: int | None = None) -> DataFrame:
     """A file stream with a fixed schema; the trigger size bounds a micro-batch."""

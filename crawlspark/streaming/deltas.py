@@ -1,9 +1,11 @@
 """Streaming folds kept as mergeable deltas.
 
-Each micro-batch writes its own summary to a folder named after its batch id,
-replacing what an earlier try left there, so a batch that is repeated after a
-failure counts once. Readers add the summaries up. Nothing is updated in place
-and no key has to fit into the state of one task.
+Each micro-batch writes its own summary to a folder named after its stream and
+its batch id, replacing what an earlier try left there, so a batch that is
+repeated after a failure counts once. A stream's id lives in its checkpoint, so a
+stream begun anew writes beside what an older one left. Readers add the summaries
+up, in any order. Nothing is updated in place and no key has to fit into the state
+of one task.
 """
 
 from __future__ import annotations
@@ -11,16 +13,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Summary = Callable[[DataFrame], DataFrame]
 
 
+class BatchId(int):
+    """The number of a micro-batch, with the id of its stream."""
+
+    stream = "0"
+
+    def __new__(cls, number: int, stream: str) -> BatchId:
+        self = super().__new__(cls, number)
+        self.stream = stream
+        return self
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a running stream keeps in its checkpoint."""
+    row = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()
+    return row[0]
+
+
+def folder(path: str, batch_id: int) -> str:
+    return f"{path}/stream={getattr(batch_id, 'stream', '0')}/batch_id={int(batch_id)}"
+
+
 def write_batch(summary: DataFrame, path: str, batch_id: int) -> None:
-    summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    summary.write.mode("overwrite").parquet(folder(path, batch_id))
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All summaries written so far, with their `batch_id`."""
-    with_id = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
+    """All summaries written so far, with their `stream` and `batch_id`."""
+    with_id = T.StructType([*schema.fields, T.StructField("stream", T.StringType()),
+                            T.StructField("batch_id", T.LongType())])
     return spark.read.schema(with_id).option("basePath", path).parquet(path)

@@ -7,17 +7,21 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from ..operators import pages
+from .progress import run_batches
 
 
 def stream_retrievals(responses: DataFrame, path: str, checkpoint: str, *,
                       trigger: dict | None = None, **options) -> StreamingQuery:
-    """Append retrieval rows to a table partitioned by hour."""
-    rows = pages.retrievals(pages.stored_pages(responses, **options))
-    return (
-        rows.writeStream.format("parquet").partitionBy("partition_ts").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    """Add retrieval rows to a table partitioned by hour.
+
+    A batch is a run of the table: written again after a failure, it counts
+    once, and its hours come out in few files.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = pages.retrievals(pages.stored_pages(batch, **options))
+        pages.write_retrievals(rows, path, f"{batch_id.stream}-{int(batch_id)}")
+
+    return run_batches(responses, {"retrievals": sink}, checkpoint, trigger=trigger)
 
 
 def stream_notifications(responses: DataFrame, topic: str, checkpoint: str, *,

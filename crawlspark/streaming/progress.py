@@ -4,58 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
-from ..functions.times import micros
-from ..operators import progress, runs, slices, timeline
+from ..operators import metrics, progress, runs, timeline
 from . import deltas
 
 Sink = Callable[[DataFrame, int], None]
 
 
-def run_progress(events: DataFrame, sinks: dict[str, Sink], checkpoint: str, *,
-                 trigger: dict | None = None,
-                 on_rejects: Callable[[int, dict], None] | None = None) -> StreamingQuery:
-    """Validate an event stream and hand each micro-batch to every sink.
+def run_batches(rows: DataFrame, sinks: dict[str, Sink], checkpoint: str, *,
+                trigger: dict | None = None,
+                before: Callable[[DataFrame, int], DataFrame] | None = None) -> StreamingQuery:
+    """Hand each micro-batch of a stream to every sink.
 
     All sinks see the batch even if one of them fails; then the batch fails and
-    is tried again, so sinks must be idempotent by batch id. `on_rejects` gets
-    the numbers of valid and rejected events of a batch.
+    is tried again, so sinks must be idempotent by batch id, which is a number
+    that also knows its stream. `before` may look at the batch and change it.
     """
-    def consume(batch: DataFrame, batch_id: int) -> None:
+    stream = []
+
+    def consume(batch: DataFrame, number: int) -> None:
+        if not stream:
+            stream.append(deltas.stream_id(batch.sparkSession, checkpoint))
+        batch_id = deltas.BatchId(number, stream[0])
         # Several sinks read the batch; keep it instead of reading the source again.
         batch = batch.persist()
         try:
-            if on_rejects:
-                counts = Observation()
-                reason = progress.reject_reason()
-                batch.observe(
-                    counts, F.count_if(reason.isNull()).alias("valid"),
-                    F.count_if(reason.isNotNull()).alias("rejected"),
-                ).write.format("noop").mode("overwrite").save()
-                on_rejects(batch_id, counts.get)
-            valid = progress.valid_events(batch)
+            given = before(batch, batch_id) if before else batch
             failures = {}
             for name, sink in sinks.items():
                 try:
-                    sink(valid, batch_id)
+                    sink(given, batch_id)
                 except Exception as error:  # the other sinks still run
                     failures[name] = error
             if failures:
-                raise RuntimeError(f"sinks failed for batch {batch_id}: {failures}")
+                raise RuntimeError(f"sinks failed for batch {number}: {failures}")
         finally:
             batch.unpersist()
 
     return (
-        events.writeStream.foreachBatch(consume).option("checkpointLocation", checkpoint)
+        rows.writeStream.foreachBatch(consume).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def run_progress(events: DataFrame, sinks: dict[str, Sink], checkpoint: str, *,
+                 trigger: dict | None = None,
+                 on_rejects: Callable[[int, dict], None] | None = None,
+                 rejects: Sink | None = None) -> StreamingQuery:
+    """Validate an event stream and hand the valid events of each micro-batch to every sink.
+
+    `on_rejects` gets the numbers of valid and rejected events of a batch,
+    `rejects` the rejected events with their reasons.
+    """
+    def validate(batch: DataFrame, batch_id: int) -> DataFrame:
+        if on_rejects:
+            counts = Observation()
+            reason = progress.reject_reason()
+            batch.observe(
+                counts, F.count_if(reason.isNull()).alias("valid"),
+                F.count_if(reason.isNotNull()).alias("rejected"),
+            ).write.format("noop").mode("overwrite").save()
+            on_rejects(batch_id, counts.get)
+        if rejects:
+            rejects(progress.event_rejects(batch), batch_id)
+        return progress.valid_events(batch)
+
+    return run_batches(events, sinks, checkpoint, trigger=trigger, before=validate)
+
+
+def table_sink(path: str) -> Sink:
+    """Every row as it is, a folder per batch."""
+    return lambda rows, batch_id: deltas.write_batch(rows, path, batch_id)
+
+
 # --- site statistics -------------------------------------------------------
 
 SITE_DELTAS = T.StructType([
@@ -103,60 +129,50 @@ def read_job_runs(spark: SparkSession, path: str) -> DataFrame:
 
 # --- running jobs ----------------------------------------------------------
 
-STEPS = T.StructType([
-    T.StructField("job_id", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("event_id", T.LongType()), T.StructField("step", T.LongType()),
-])
-EDGES = T.StructType([
+MOVES = T.StructType([
     T.StructField("job_id", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("event_id", T.LongType()), T.StructField("stage", T.StringType()),
-    T.StructField("last_stage", T.StringType()),
 ])
 
 
 def running_jobs_sink(path: str) -> Sink:
-    """Steps of the running gauge inside a batch, and for each job its first
-    event, whose step depends on earlier batches, and its last stage."""
-    def sink(events: DataFrame, batch_id: int) -> None:
-        moves = timeline.lifecycle(events)
-        stepped = slices.previous(
-            moves, ["job_id"], ["ts", "event_id"], micros(F.col("ts")), "stage", "before")
-        step = timeline.gauge_step(F.col("stage"), F.col("before")).alias("step")
-        inner = stepped.where(F.col("before").isNotNull()).select("job_id", "ts", "event_id", step)
-        deltas.write_batch(inner.where(F.col("step") != 0), f"{path}/steps", batch_id)
-        order = F.struct("ts", "event_id")
-        edges = moves.groupBy("job_id").agg(
-            F.min_by(F.struct("ts", "event_id", "stage"), order).alias("first"),
-            F.max_by("stage", order).alias("last_stage"))
-        deltas.write_batch(
-            edges.select("job_id", "first.*", "last_stage"), f"{path}/edges", batch_id)
-    return sink
+    """The starts and completions of a batch. What they do to the gauge depends
+    on all events before them in time, so it is folded when read: batches may
+    come in any order."""
+    return lambda events, batch_id: deltas.write_batch(timeline.lifecycle(events), path, batch_id)
 
 
 def read_running_jobs(spark: SparkSession, path: str) -> DataFrame:
-    steps = deltas.read_batches(spark, f"{path}/steps", STEPS).drop("batch_id")
-    edges = deltas.read_batches(spark, f"{path}/edges", EDGES)
-    # One row per job and batch: the window is over batches, not events.
-    before = F.lag("last_stage").over(Window.partitionBy("job_id").orderBy("batch_id"))
-    opened = edges.withColumn("before", before).select(
-        "job_id", "ts", "event_id",
-        timeline.gauge_step(F.col("stage"), F.col("before")).alias("step")
-    ).where(F.col("step") != 0)
-    changes = steps.unionByName(opened)
-    return timeline.running_total(changes, changes)
+    return timeline.running_jobs(deltas.read_batches(spark, path, MOVES))
 
 
 def audit_sink(path: str) -> Sink:
     """Every event as a JSON log line."""
     return lambda events, batch_id: progress.audit_rows(events).write.mode("overwrite").json(
-        f"{path}/batch_id={batch_id}")
+        deltas.folder(path, batch_id))
 
 
 # --- rates -----------------------------------------------------------------
 
+PAGE_COUNTS = T.StructType([
+    T.StructField("window_start", T.TimestampNTZType()), T.StructField("site", T.StringType()),
+    T.StructField("pages", T.LongType()),
+])
+
+
+def pages_rate_sink(path: str) -> Sink:
+    """Pages of a batch by window and site; rows may come late and windows need not close."""
+    return lambda seen, batch_id: deltas.write_batch(metrics.pages_counted(seen), path, batch_id)
+
+
+def read_pages_rate(spark: SparkSession, path: str) -> DataFrame:
+    return metrics.rate_of_pages(deltas.read_batches(spark, path, PAGE_COUNTS))
+
+
 def stream_pages_rate(observations: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Pages per second and site in five-minute windows, emitted once a window
-    can no longer change. Rows later than `lateness` are dropped."""
+    can no longer change. Rows later than `lateness` are dropped and the last
+    windows stay open; `pages_rate_sink` loses neither."""
     from ..functions.urls import sanitize_site
     from ..operators.metrics import RATE_WINDOW
 
