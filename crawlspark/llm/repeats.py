@@ -5,10 +5,10 @@ by hash; equal strings have the same anchor at the same place, so only strings
 with an anchor in common have to be compared. Runs of strings with one anchor are
 grouped by their bytes: runs found twice are repeated throughout. What is left of
 anchors with differing runs is cut out of the texts, range-partitioned by anchor,
-and sorted block by block with a suffix sort: initial buckets of q-grams are
-refined by the bucket pointers at later offsets, from 8 to 16 and so on to
-`LENGTH` bytes, each round reusing the buckets that the one before has split and
-sorting only those that still hold several suffixes. Strings in a bucket with
+and sorted block by block with a suffix sort: initial buckets of q-grams, a
+quarter of `LENGTH` long, are refined by the bucket pointers at later offsets,
+doubling the depth up to `LENGTH` bytes, each round reusing the buckets that the
+one before has split and sorting only those that still hold several suffixes. Strings in a bucket with
 others are repeated. An anchor on the edge of a block may go on in the next; its
 strings are counted by hash over all blocks, so a frequent passage is spread over
 many tasks and nothing is cut off.
@@ -16,8 +16,8 @@ many tasks and nothing is cut off.
 Defined results: a null text is empty; shorter texts have no such string; matches
 never cross documents; repeated rows are documents of their own, so their strings
 repeat; a text of any length is worked on in segments; extra columns are ignored
-or kept; an empty table gives no rows. Strings count as equal when two 64-bit
-hashes of their bytes agree, or byte for byte inside a block.
+or kept; an empty table gives no rows. Strings count as equal when the 64-bit
+hashes of their anchors and those of their bytes or q-grams agree.
 """
 
 from __future__ import annotations
@@ -99,30 +99,21 @@ def refined_buckets(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
     `ends`: where the piece of each position ends. Other positions get numbers
     that mean nothing.
     """
-    n = len(data)
-    at = np.arange(n)
-    depth = min(8, length)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    grams = np.zeros(n, np.uint64)
-    for j in range(depth):
-        grams = (grams << np.uint64(8)) | padded[j:n + j].astype(np.uint64)
-    fits = at + depth <= ends
-    bucket = np.zeros(n, np.int64)
-    _, numbers = np.unique(grams[fits], return_inverse=True)
-    bucket[fits] = numbers + 1
-    top = n + 1
+    at = np.arange(len(data))
+    depth = -(-length // 4)
+    fits = np.flatnonzero(at + depth <= ends)
+    bucket, crowd = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+    _, number, count = np.unique(span_hash(prefix_hash(data), fits, fits + depth),
+                                 return_inverse=True, return_counts=True)
+    bucket[fits], crowd[fits], top = number + 1, count[number], len(count) + 1
     while depth < length:
         step = min(depth, length - depth)
-        crowd = np.bincount(bucket[fits], minlength=top)
-        fits = at + depth + step <= ends
-        open_ = np.flatnonzero(fits & (crowd[bucket] > 1))  # the others are settled
-        # numbers of the round before, at the position and `step` later, order these suffixes further
-        pairs = bucket[open_] * (top + 1) + bucket[open_ + step]
-        _, numbers = np.unique(pairs, return_inverse=True)
-        bucket[open_] = numbers + top
-        _, numbers = np.unique(bucket, return_inverse=True)
-        bucket = numbers.astype(np.int64)
-        top = n + 1
+        open_ = np.flatnonzero((crowd > 1) & (at + depth + step <= ends))  # the others are settled
+        # the bucket pointer `step` later orders the suffixes of a bucket further
+        _, number, count = np.unique(bucket[open_] * top + bucket[open_ + step],
+                                     return_inverse=True, return_counts=True)
+        bucket[open_], crowd[open_] = number + top, count[number]
+        top += len(count)
         depth += step
     return bucket
 
