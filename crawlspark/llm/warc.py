@@ -132,9 +132,12 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "
     """Write the archives; a manifest row for each."""
     spark = pages.sparkSession
     folder = new_run_dir(spark, "archives")
-    sample = pages.filter(F.length(html_col).between(1, SAMPLE_BYTES // 4)).select(
-        F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h")).orderBy(
-        F.xxhash64("i", "h"), "h").limit(SAMPLE_RECORDS).collect()
+    small = pages.filter(F.length(html_col).between(1, SAMPLE_BYTES // 4)).select(
+        F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h")).withColumn(
+        "key", F.xxhash64("i", "h"))
+    keys = small.select("key").distinct().orderBy("key").limit(SAMPLE_RECORDS)  # hashes, before any text moves
+    sample = small.join(F.broadcast(keys), "key").groupBy("key").agg(
+        F.any_value("i").alias("i"), F.any_value("u").alias("u"), F.any_value("h").alias("h")).orderBy("key").collect()
     dictionary = spark.sparkContext.broadcast(train([
         record(r["i"], r["u"], r["h"].encode(), hashlib.sha256(r["h"].encode()).hexdigest(), None) for r in sample]))
 
