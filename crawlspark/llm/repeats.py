@@ -10,8 +10,9 @@ quarter of `LENGTH` long, are refined by the bucket pointers at later offsets,
 doubling the depth up to `LENGTH` bytes, each round reusing the buckets that the
 one before has split and sorting only those that still hold several suffixes. Strings in a bucket with
 others are repeated. An anchor on the edge of a block may go on in the next; its
-strings are counted by hash over all blocks, so a frequent passage is spread over
-many tasks and nothing is cut off.
+strings are counted by hash over all blocks, sixteen and then four neighbours at
+a time before one by one, so a frequent passage is spread over many tasks and
+nothing is cut off.
 
 Defined results: a null text is empty; shorter texts have no such string; matches
 never cross documents; repeated rows are documents of their own, so their strings
@@ -33,8 +34,11 @@ LENGTH = 400
 #: Bytes of an anchor; bytes of a block that is sorted at once; windows of a segment of a text.
 GRAM, BLOCK_BYTES, SEGMENT = 32, 1 << 21, 1 << 20
 
-_RUNS = "k1 bigint, k2 bigint, first bigint, last bigint, anchor bigint, run bigint"
-_FOUND = "k1 bigint, k2 bigint, start bigint, stop bigint, anchor bigint, string bigint, done boolean"
+_RUNS = "k1 bigint, k2 bigint, first bigint, last bigint, place bigint, anchor bigint, run bigint"
+_FOUND = ("k1 bigint, k2 bigint, start bigint, stop bigint, anchor bigint, core bigint, "
+          "parts array<struct<core:bigint,strings:array<struct<start:bigint,string:bigint,done:boolean>>>>")
+_STRING = pa.struct([("start", pa.int64()), ("string", pa.int64()), ("done", pa.bool_())])
+_PART = pa.struct([("core", pa.int64()), ("strings", pa.list_(_STRING))])
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -49,7 +53,7 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, length: int = LENGTH):
-    """(first window, last window, anchor, hash of the run) of each anchor of a text, as columns."""
+    """(first window, last window, place, anchor, hash of the run) of each anchor of a text, as columns."""
     out = []
     gram = min(GRAM, length)
     for begin in range(0, len(data) - length + 1, SEGMENT):
@@ -64,7 +68,8 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH):
         place = place[first]
         run = span_hash(sums, first, last + length)
         shape = (place - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
-        out.append((first + begin, last + begin, grams[place].view(np.int64), mix(run + mix(shape)).view(np.int64)))
+        out.append((first + begin, last + begin, place + begin, grams[place].view(np.int64),
+                    mix(run + mix(shape)).view(np.int64)))
     return [np.concatenate(c) for c in zip(*out)] if out else None
 
 
@@ -141,21 +146,51 @@ def compare_block(rows: dict[str, list], length: int) -> pa.RecordBatch:
     stop = np.append(edge[1:], len(hit)) - 1
     spans = [k1[owner[hit[edge]]], k2[owner[hit[edge]]], start[hit[edge]], start[hit[stop]] + length] if len(hit) else [
         np.zeros(0, np.int64)] * 4
-    # strings that may go on beyond the block: each once
+    # strings that may go on beyond the block: each once, in packed rows
     open_ = np.zeros(len(window), bool)
     open_[first] = True
     open_ = np.flatnonzero((open_ | ~twice) & ((anchor[owner] == anchor[0]) | (anchor[owner] == anchor[-1])))
-    hashes = span_hash(prefix_hash(data), window[open_], window[open_] + length).view(np.int64)
+    place = np.array(rows["place"], np.int64)
+    back = place[owner[open_]] - start[open_]  # how far before its anchor a string begins
+    order = np.lexsort((back, owner[open_]))
+    open_, back = open_[order], back[order]
     mine = owner[open_]
-    columns = [*(np.concatenate([a, b]) for a, b in zip(
-        spans, (k1[mine], k2[mine], start[open_], start[open_] + length))),
-        np.concatenate([np.zeros(len(spans[0]), np.int64), anchor[mine]]),
-        np.concatenate([np.zeros(len(spans[0]), np.int64), hashes])]
-    mask = np.concatenate([np.ones(len(spans[0]), bool), np.zeros(len(mine), bool)])
-    done = np.concatenate([np.ones(len(spans[0]), bool), twice[open_] | ~single[mine]])
+    sums = prefix_hash(data)
+    string = span_hash(sums, window[open_], window[open_] + length).view(np.int64)
+    flat = pa.StructArray.from_arrays(
+        [pa.array(start[open_]), pa.array(string), pa.array(twice[open_] | ~single[mine])], fields=list(_STRING))
+
+    def cores(width, at):
+        """Hashes of the bytes that all strings of a group have in common."""
+        begin = begins[mine[at]] + place[mine[at]] - back[at] // width * width - np.array(rows["first"], np.int64)[mine[at]]
+        return span_hash(sums, begin, begin + length - width + 1).view(np.int64)
+
+    large, little = group_widths(length)
+    part = np.flatnonzero(np.diff(mine, prepend=-1).astype(bool) | np.diff(back // little, prepend=-1).astype(bool))
+    parts = pa.StructArray.from_arrays(
+        [pa.array(cores(little, part)),
+         pa.ListArray.from_arrays(pa.array(np.append(part, len(mine)).astype(np.int32)), flat)], fields=list(_PART))
+    row = np.flatnonzero(np.diff(mine[part], prepend=-1).astype(bool) |
+                         np.diff(back[part] // large, prepend=-1).astype(bool))
+    packed = pa.ListArray.from_arrays(pa.array(np.append(row, len(part)).astype(np.int32)), parts)
+    row = part[row]
+    none = len(spans[0])
+    columns = [pa.array(np.concatenate(c)) for c in zip(spans, (
+        k1[mine[row]], k2[mine[row]], start[open_[row]], start[open_[row]] + length))]
     return pa.RecordBatch.from_arrays(
-        [*map(pa.array, columns[:5]), pa.array(columns[5], mask=mask), pa.array(done)],
-        [f.split()[0] for f in _FOUND.split(", ")])
+        [*columns, pa.array(np.concatenate([np.zeros(none, np.int64), anchor[mine[row]]])),
+         pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(cores(large, row))]),
+         pa.concat_arrays([pa.nulls(none, packed.type), packed])], [f.name for f in _SCHEMA])
+
+
+_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
+                     ("anchor", pa.int64()), ("core", pa.int64()), ("parts", pa.list_(_PART))])
+
+
+def group_widths(length: int) -> tuple[int, int]:
+    """How many neighbouring strings of an anchor are first, and then, looked at together."""
+    little = max(1, min(4, length // 8))
+    return min(4 * little, length), little
 
 
 def _unique(values):
@@ -164,7 +199,7 @@ def _unique(values):
 
 
 def compared(pieces: DataFrame, length: int) -> DataFrame:
-    columns = ["k1", "k2", "first", "anchor", "single", "piece"]
+    columns = ["k1", "k2", "first", "place", "anchor", "single", "piece"]
 
     def run(batches):
         rows, size = {c: [] for c in columns}, 0
@@ -187,6 +222,12 @@ def compared(pieces: DataFrame, length: int) -> DataFrame:
     return saved(spread.sortWithinPartitions("anchor", "run").drop("run").mapInArrow(run, _FOUND), "compared")
 
 
+def _twice(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose anchor and `column` occur more than once."""
+    keys = ["anchor", column]
+    return rows.join(saved(rows.groupBy(*keys).count().filter("count > 1").select(*keys), "twice"), keys)
+
+
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """`k1`, `k2`, `start`, `stop`: spans of bytes in repeated strings; they may overlap."""
     runs = runs_of(docs, length)
@@ -197,18 +238,22 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     mark = F.xxhash64("k1", "k2", "first")
     sizes = saved(common.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(mark).alias("mark")), "sizes")
     known = saved(common.join(sizes, ["anchor", "run"]).select(
-        "k1", "k2", "first", "last", "anchor", "run", "mixed", (F.col("n") == 1).alias("single"),
+        "k1", "k2", "first", "last", "place", "anchor", "run", "mixed", (F.col("n") == 1).alias("single"),
         (mark == F.col("mark")).alias("one")), "known")
     whole = known.filter(~F.col("single")).select("k1", "k2", F.col("first").alias("start"),
                                                   (F.col("last") + length).alias("stop"))
     part = known.filter("mixed AND one").join(docs, ["k1", "k2"]).select(
-        "k1", "k2", "first", "anchor", "run", "single",
+        "k1", "k2", "first", "place", "anchor", "run", "single",
         F.substring("data", F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + length).cast("int")).alias("piece"))
     found = compared(part, length)
-    strings = found.filter("string IS NOT NULL")
-    twice = saved(strings.groupBy("anchor", "string").count().filter("count > 1").select("anchor", "string"), "strings")
-    beyond = strings.filter("NOT done").join(twice, ["anchor", "string"]).select("k1", "k2", "start", "stop")
-    inside = found.filter("string IS NULL").select("k1", "k2", "start", "stop")
+    # what strings of a group have in common has to occur twice before they are looked at one by one
+    groups = _twice(found.filter("core IS NOT NULL").select("k1", "k2", "anchor", "core", "parts"), "core")
+    parts = groups.select("k1", "k2", "anchor", F.explode("parts").alias("p")).select("k1", "k2", "anchor", "p.*")
+    strings = _twice(saved(parts, "parts"), "core").select(
+        "k1", "k2", "anchor", F.explode("strings").alias("s")).select("k1", "k2", "anchor", "s.*")
+    beyond = _twice(saved(strings, "strings"), "string").filter("NOT done").select(
+        "k1", "k2", "start", (F.col("start") + length).alias("stop"))
+    inside = found.filter("core IS NULL").select("k1", "k2", "start", "stop")
     return whole.union(inside).union(beyond)
 
 
