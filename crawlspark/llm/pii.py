@@ -278,9 +278,10 @@ def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
                                     "tags": ",".join(map(str, chain_tags(run, spans)))})
             yield arrow(out, "chain string, tags string")
 
-    text = F.col(text_col)
-    sample = docs.select(text.alias("text")).filter(text.rlike("[0-9@]")).orderBy(
-        F.xxhash64("text"), "text").limit(sample_rows)
+    rows = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn(
+        "key", F.xxhash64("text"))
+    keys = rows.select("key").distinct().orderBy("key").limit(sample_rows)  # hashes, before any text moves
+    sample = rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.any_value("text").alias("text")).select("text")
     found = sample.mapInArrow(label, "chain string, tags string").groupBy("chain", "tags").count().orderBy(
         F.desc("count"), "chain", "tags").limit(sample_runs).collect()
     table = [([t.split("\t") for t in r["chain"].split("\n")], [int(t) for t in r["tags"].split(",")],
