@@ -12,14 +12,19 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Words kept by a task; beyond it, the cache starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 #: Characters that count as spaces for some library and not for others.
 _UNSURE = "᠎​﻿"
 _MARKS = ".,;:!?"
+_ODD_SPACE = re.compile(f"[\\s{_UNSURE}][\\s{_UNSURE}]|[\\s{_UNSURE}]\\Z")
+#: A text's beginning, and a line break before a word; all other words of the style `spaced`
+#: have a space before them. No text read from a table has these code points.
+_FIRST, _LINE = "\ud800", "\ud801"
 
 _encoders: dict[tuple, "WordEncoder"] = {}
 
@@ -48,65 +53,76 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = not special
         self.spaced = style == "spaced"
         self.cache: dict[str, bytes] = {}
+        self.newline, *ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(
+            ["\n", *_MARKS], add_special_tokens=False)]
+        self.mark_ids = dict(zip(_MARKS, ids))
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.mark = marks[0] if marks else ""
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
     def words(self, text: str) -> list[str]:
         """Pieces of a text whose ids can be joined."""
         if self.marks is not None and "<" in text and self.marks.search(text):
-            return [w for i, part in enumerate(self.marks.split(text)) for w in ([part] if i % 2 else self._words(part))]
+            first = _FIRST if self.spaced else ""
+            return [w for i, part in enumerate(self.marks.split(text))
+                    for w in ([first + part] if i % 2 else self._words(part))]
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
         if not self.spaced:
-            return [w for w in text.replace("\n", " ").split(" ") if w]
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts if text else []
-        out = [parts[0]] if parts[0] else []
-        glued = ""
-        for part in parts[1:]:
-            if part and not part[0].isspace() and part[0] not in _UNSURE:
-                if glued:
-                    if out:
-                        out[-1] += glued
-                    else:
-                        out.append(glued)
-                    glued = ""
-                out.append(" " + part)
+            return text.replace("\n", " ").split(" ")
+        if not _ODD_SPACE.search(text):
+            return (_FIRST + text.replace("\n", " " + _LINE)).split(" ")
+        parts, begun = [""], False
+        for part in text.split(" "):
+            if begun and (not part or part[0].isspace() or part[0] in _UNSURE):
+                parts[-1] += " " + part
+            elif begun:
+                parts.append(part)
             else:
-                glued += " " + part
-        if glued:
-            if out:
-                out[-1] += glued
-            else:
-                out.append(glued)
-        return out
-
-    def _pieces(self, word: str) -> list[str]:
-        """A word cut where its pre-tokens end for sure."""
-        if self.spaced and word.count("\n") == 1:
-            before, after = word.split("\n")
-            if before.strip() and after and not before[-1].isspace() and not after[0].isspace() \
-                    and before[-1] not in _UNSURE and after[0] not in _UNSURE:
-                return [*self._pieces(before), "\n", *self._pieces(after)]
-        if not self.spaced and word.isascii() and "<|" not in word:
-            word = word.lower()
-        if len(word) > 2 and word[-1] in _MARKS and word[-2].lower().isalpha():
-            return [word[:-1], word[-1]]
-        return [word]
+                parts[0] += part
+                begun = True
+        return [_FIRST + parts[0], *parts[1:]]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of short texts; where a special token can stand between them, all in one call."""
+        joint = "" if self.marks is None else self.mark.join(texts)
+        if not joint or joint.count("<|") != len(texts) - 1:
+            return [array("I", e.ids).tobytes()
+                    for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([joint], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ids == self.tokenizer.token_to_id(self.mark))
+        data, starts, ends = ids.tobytes(), np.append(0, cut + 1) * 4, np.append(cut, len(ids)) * 4
+        return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
     def _learn(self, missing: set[str]) -> None:
-        cache = self.cache
-        pieces = {w: self._pieces(w) for w in missing}
-        new = list({p for ps in pieces.values() for p in ps if p not in cache})
-        for at in range(0, len(new), 2000):
-            part = new[at:at + 2000]
-            for piece, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[piece] = np.array(encoding.ids, np.uint32).tobytes()
-        for word, ps in pieces.items():
-            if word not in cache:
-                cache[word] = b"".join([cache[p] for p in ps])
+        cache, plan, new = self.cache, [], set()
+        for word in missing:
+            before = after = b""
+            text = key = word
+            if self.spaced:
+                if word[:1] == _LINE:
+                    before, text = self.newline, word[1:]
+                    key = _FIRST + text
+                elif word[:1] == _FIRST:
+                    text = word[1:]
+                else:
+                    text = " " + word
+            elif word.isascii() and "<|" not in word:
+                text = key = word.lower()
+            if len(text) > 2 and text[-1] in _MARKS and text[-2].lower().isalpha():
+                after, text, key = self.mark_ids[text[-1]], text[:-1], key[:-1]
+            if key not in cache and text:
+                new.add((key, text))
+            plan.append((word, before, key, after, text))
+        new = list(new)
+        for at in range(0, len(new), 200):
+            part = new[at:at + 200]
+            for (key, _), ids in zip(part, self._encoded([text for _, text in part])):
+                cache[key] = ids
+        for word, before, key, after, text in plan:
+            if word != key or not text:
+                cache[word] = before + (cache[key] if text else b"") + after
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every text; null counts as empty."""
