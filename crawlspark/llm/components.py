@@ -1,8 +1,7 @@
 """Connected components by alternating large and small stars, in stored tables.
 
-Every round is aggregations and joins over edges; no node's neighbours and no
-component are brought together in one task. Edges are first contracted inside
-their partitions.
+Every round is aggregations and joins over edges; no component is brought together in
+one task. Edges are first contracted inside their partitions.
 """
 
 from __future__ import annotations
@@ -17,30 +16,48 @@ from .common import saved
 _PAIR = "u bigint, v bigint"
 
 
+#: Edges that a task contracts at once.
+CONTRACTED = 1 << 20
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Each node of the edges with the smallest node that it reaches over them."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[:len(a)], ends[len(a):]
+    root = np.arange(len(nodes))
+    while True:  # smaller roots spread over the edges, then along themselves
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for at in (root[a], root[b], a, b):
+            np.minimum.at(root, at, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["u", "v"])
+
+
 def contract(edges: DataFrame) -> DataFrame:
-    """The edges of every batch as stars: each node with the smallest node that it reaches there."""
+    """The edges of a partition, or of parts of a large one, as stars."""
     def run(batches):
+        kept, size = [], 0
         for batch in batches:
-            nodes, ends = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]),
-                                    return_inverse=True)
-            a, b = ends[:batch.num_rows], ends[batch.num_rows:]
-            root = np.arange(len(nodes))
-            while True:  # smaller roots spread over the edges, then along themselves
-                low = np.minimum(root[a], root[b])
-                before = root.copy()
-                np.minimum.at(root, root[a], low)
-                np.minimum.at(root, root[b], low)
-                np.minimum.at(root, a, low)
-                np.minimum.at(root, b, low)
-                root = root[root]
-                if (root == before).all():
-                    break
-            far = np.flatnonzero(root != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["u", "v"])
+            kept.append(batch)
+            size += batch.num_rows
+            if size >= CONTRACTED:
+                yield _joined(kept)
+                kept, size = [], 0
+        if size:
+            yield _joined(kept)
 
     return edges.mapInArrow(run, _PAIR)
 
 
+def _joined(batches: list) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    return _stars(table.column(0).to_numpy(), table.column(1).to_numpy())
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """`node`, `component` (its smallest node) of all nodes that aren't the smallest. `edges`: two bigint columns."""
     pairs = edges.toDF("u", "v").filter("u <> v")

@@ -35,7 +35,7 @@ from .common import byte_class, hashed_words, mix, powers, read, saved, text_sli
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 85
-HASHES, TREES, DEPTHS, REGION = 128, 32, (4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128), 1024
+HASHES, TREES, DEPTHS, REGION = 128, 32, (4, 6, 10, 16, 32, 64, 128), 1024
 #: How far the estimated likeness may lie below the threshold.
 SLACK = 0.12
 WORD = byte_class([(0x20, 0x20), (0x09, 0x0D)], inside=False)
@@ -169,7 +169,7 @@ def alike(brief: np.ndarray, sizes: np.ndarray, i: int, low: float) -> np.ndarra
 
 
 def _by_region(rows: DataFrame, pairs) -> DataFrame:
-    """Distinct pairs (a < b) that `pairs(ids, sizes, briefs, components)` names in each region."""
+    """Distinct pairs that `pairs(ids, sizes, briefs, components, sets)` names in each region."""
     def run(batches):
         kept = None
 
@@ -179,9 +179,10 @@ def _by_region(rows: DataFrame, pairs) -> DataFrame:
             ids, sizes = table.column("class_id").to_numpy(), table.column("n_shingles").to_numpy()
             brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, HASHES)
             component = table.column("component").to_numpy()
+            sets = table.column("shingles")
             found = [np.zeros((0, 2), np.int64)]
             for a, b in zip(edges[:-1], edges[1:]):
-                found += pairs(ids[a:b], sizes[a:b], brief[a:b], component[a:b])
+                found += pairs(ids[a:b], sizes[a:b], brief[a:b], component[a:b], sets.slice(a, b - a))
             found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -195,38 +196,94 @@ def _by_region(rows: DataFrame, pairs) -> DataFrame:
         if kept:
             yield work(pa.Table.from_batches(kept).combine_chunks())
 
-    columns = ["region", "class_id", "n_shingles", "brief", "component"]
+    columns = ["region", "class_id", "n_shingles", "brief", "component", "shingles"]
     ordered = rows.select(*columns).repartition("region").sortWithinPartitions("region", "class_id")
-    return ordered.mapInArrow(run, "a bigint, b bigint").filter("a < b").distinct()
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def nearest_pairs(rows: DataFrame, low: float) -> DataFrame:
-    """Each class of a region with the one before it that is most alike."""
-    def pairs(ids, sizes, brief, _):
-        found = []
+    """Each class of a region with the one before it that is most alike; and
+    every class that is alike to another, with itself."""
+    def pairs(ids, sizes, brief, *_):
+        found, any_ = [], np.zeros(len(ids), bool)
         for i in range(1, len(ids)):
             near = alike(brief, sizes, i, low)
             j = int(near.argmax())
             if near[j] > 0:
                 found.append([ids[j], ids[i]])
-        return [np.array(found, np.int64)] if found else []
+                any_[:i] |= near > 0
+                any_[i] = True
+        return [np.array(found, np.int64), np.stack([ids[any_], ids[any_]], 1)] if found else []
 
-    return saved(_by_region(rows.withColumn("component", F.col("class_id")), pairs), "nearest")
+    plain = rows.withColumn("component", F.col("class_id")).withColumn("shingles", F.lit(None).cast("binary"))
+    return saved(_by_region(plain, pairs), "nearest")
 
 
-def open_pairs(rows: DataFrame, low: float) -> DataFrame:
-    """All pairs of a region that are alike and in different components."""
-    def pairs(ids, sizes, brief, component):
-        found = []
-        if len(component) and (component == component[0]).all():
-            return found
-        for i in range(1, len(ids)):
+def open_pairs(sizes, brief, component, low: float) -> np.ndarray:
+    """Places (j < i) of a region's classes that are alike and in different components."""
+    found = [np.zeros((0, 2), np.int64)]
+    if (component != component[0]).any():
+        for i in range(1, len(sizes)):
             near = np.flatnonzero((alike(brief, sizes, i, low) > 0) & (component[:i] != component[i]))
-            if len(near):
-                found.append(np.stack([ids[near], np.full(len(near), ids[i])], 1))
-        return found
+            found.append(np.stack([near, np.full(len(near), i)], 1))
+    return np.concatenate(found)
+
+
+def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, by products of their indicator rows."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[place] > 1
+    owner, (_, column) = owner[several], np.unique(place[several], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        rows = np.zeros((len(sets), min(width, int(column[-1]) + 1 - start)), np.float32)
+        rows[owner[a:b], column[a:b] - start] = 1
+        out += rows @ rows.T
+    return out
+
 
-    return _by_region(rows, pairs)
+def open_links(rows: DataFrame, sets: DataFrame, low: float, threshold: int) -> DataFrame:
+    """Links between components of a region, enough to join those that have any.
+
+    All open pairs are confirmed on full sets where the region is at hand, so
+    only links leave the task, not pairs.
+    """
+    def concerned(ids, sizes, brief, component, _):
+        ids = ids[np.unique(open_pairs(sizes, brief, component, low))]
+        return [np.stack([ids, ids], 1)] if len(ids) else []
+
+    def links(ids, sizes, brief, component, shingles):
+        pairs = open_pairs(sizes, brief, component, low)
+        if not len(pairs):
+            return []
+        which, place = np.unique(pairs, return_inverse=True)
+        place = place.reshape(pairs.shape)
+        both = shared_counts([np.frombuffer(s, np.uint64) for s in shingles.take(pa.array(which)).to_pylist()])
+        both = both[place[:, 0], place[:, 1]].astype(np.int64)
+        union = sizes[pairs].sum(1) - both
+        root = {c: c for c in component.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for j, i in pairs[100 * both >= threshold * union].tolist():
+            a, b = find(int(component[j])), find(int(component[i]))
+            if a != b:
+                root[a] = b
+                out.append([ids[j], ids[i]])
+        return [np.array(out, np.int64)] if out else []
+
+    nothing = F.lit(None).cast("binary")
+    few = _by_region(rows.withColumn("shingles", nothing), concerned).select(F.col("a").alias("class_id"))
+    some = saved(sets.join(few, "class_id", "left_semi"), "open")
+    return saved(_by_region(rows.join(some, "class_id", "left"), links), "links")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -240,7 +297,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s
                     [ids.slice(at, 256), pa.array(sets, pa.binary())], ["class_id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("class_id"), F.col(text_col).alias("text"))
-    return saved(rows.join(wanted, "class_id", "left_semi").mapInArrow(run, "class_id bigint, shingles binary"), "sets")
+    once = rows.join(wanted, "class_id", "left_semi").dropDuplicates(["class_id"])
+    return saved(once.mapInArrow(run, "class_id bigint, shingles binary"), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -273,15 +331,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = threshold / 100 - SLACK
     rows = members(signed, regions(signed))
     nearest = nearest_pairs(rows, low)
-    wanted = nearest.select(F.col("a").alias("class_id")).union(nearest.select("b")).distinct()
-    sets = class_sets(docs, wanted, id_col, text_col, size).dropDuplicates(["class_id"])
-    links = saved(confirm(nearest, sets, threshold), "links")
+    wanted = nearest.filter("a = b").select(F.col("a").alias("class_id"))
+    sets = class_sets(docs, wanted, id_col, text_col, size)
+    links = saved(confirm(nearest.filter("a < b"), sets, threshold), "links")
     roots = components(links)
-    known = rows.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn(
-        "component", F.coalesce("component", "class_id"))
-    rest = open_pairs(known, low).join(nearest, ["a", "b"], "left_anti")
-    more = saved(confirm(rest, sets, threshold), "links")
-    roots = components(links.union(more))
+    known = saved(rows.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn(
+        "component", F.coalesce("component", "class_id")), "known")
+    more = open_links(known, sets, low, threshold)
+    if not more.isEmpty():
+        roots = components(roots.toDF("a", "b").union(more))
     label = saved(classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "d1", "d2", "n_shingles", F.coalesce("component", "class_id").alias("component_id")), "labels")
     linked = full.select("doc_id", "d1", "d2", "n_shingles").join(label, ["d1", "d2", "n_shingles"]).select(
