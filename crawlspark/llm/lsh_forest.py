@@ -1,16 +1,17 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with equal shingle sets form a class; only one of a class goes on.
-Each of `TREES` sorted orders reads the signature from another place; classes
-whose orders begin alike share a region of that tree. A region starts at depth
-`DEPTHS[0]` and, where more than `REGION` classes meet, is deepened level by
-level, until it is small or the signature ends. Within a region a class is paired with
-the earlier class that is most alike; pairs are confirmed on full shingle
-sets, and links grow to components. A second pass confirms every other pair of a
-region that is alike and not yet in one component, so that no link is lost while
-thousands of near copies aren't expanded into all pairs. A region that even whole
-signatures can't split (its sets agree in all `HASHES` minima) is worked through
-in overlapping runs of `REGION` classes.
+Each of `TREES` orders reads the signature from another place; classes whose
+orders begin with the same `DEPTH` minima share a region of that tree. A region of
+up to `REGION` classes is compared as a whole. The classes of a larger one are sorted
+by the whole signature in the tree's order, with the class as tie-break, and each is
+compared with the `REGION` before it and after it, over the edges of partitions too:
+those are its neighbours of longest common prefix, so a class that differs from a
+crowd at any depth still meets the part of it that it shares most with. Among those
+a class is paired with the earlier one that is most alike; pairs are confirmed on full
+shingle sets, and links grow to components. A second pass confirms every other
+pair that met, is alike and is not yet in one component, so that no link is lost while
+thousands of near copies aren't expanded into all pairs.
 
 A pair of similarity 0.85 misses a first region in every tree with a chance below
 1e-10; likeness is estimated from all minima and lets a pair pass from 0.12 below
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import slices
 from .common import byte_class, hashed_words, mix, powers, read, saved, text_slices
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 85
-HASHES, TREES, DEPTHS, REGION = 128, 32, (4, 6, 10, 16, 32, 64, 128), 1024
+HASHES, TREES, DEPTH, REGION = 128, 32, 4, 1024
 #: How far the estimated likeness may lie below the threshold.
 SLACK = 0.12
 WORD = byte_class([(0x20, 0x20), (0x09, 0x0D)], inside=False)
@@ -100,46 +102,83 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def region_keys(signature: np.ndarray, tree: int, depth: int) -> np.ndarray:
-    """A hash of the first `depth` values in a tree's order, which starts at its own place of the signature."""
-    places = (np.arange(depth) + tree * (HASHES // TREES)) % HASHES
+def tree_order(tree):
+    """The places of the signature in a tree's order, which starts at its own one."""
+    return (np.arange(HASHES) + tree * (HASHES // TREES)) % HASHES
+
+
+def region_keys(signature: np.ndarray, tree: int) -> np.ndarray:
+    """A hash of the first `DEPTH` values in a tree's order."""
     key = np.full(len(signature), tree, np.uint64)
-    for i, place in enumerate(places):
+    for i, place in enumerate(tree_order(tree)[:DEPTH]):
         key = key + mix(signature[:, place].astype(np.uint64) + _PLACES[i])
     return mix(key).view(np.int64)
 
 
-def placed(classes: DataFrame, depth: int, parent: int | None) -> DataFrame:
-    """`parent`, `region`, `class_id` of every class in every tree, at a depth and the one before."""
+def placed(classes: DataFrame) -> DataFrame:
+    """`tree`, `region`, `class_id` of every class in every tree."""
     def run(batches):
         for batch in batches:
             signature = _matrix(batch.column("signature"))
             for tree in range(TREES):
-                region = region_keys(signature, tree, depth)
-                above = region_keys(signature, tree, parent) if parent else np.zeros(len(region), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(above), pa.array(region), batch.column("class_id")], ["parent", "region", "class_id"])
+                    [pa.array(np.full(len(signature), tree, np.int32)), pa.array(region_keys(signature, tree)),
+                     batch.column("class_id")], ["tree", "region", "class_id"])
+
+    return classes.select("class_id", "signature").mapInArrow(run, "tree int, region bigint, class_id bigint")
 
-    return classes.select("class_id", "signature").mapInArrow(run, "parent bigint, region bigint, class_id bigint")
+
+def in_order(crowd: DataFrame, classes: DataFrame) -> DataFrame:
+    """`region`, `count`, `class_id`, and `place`, from 0, in the sorted order of the region's whole signatures."""
+    def turn(batches):
+        for batch in batches:
+            tree = batch.column("tree").to_numpy().astype(np.int64)
+            turned = np.take_along_axis(_matrix(batch.column("signature")), tree_order(tree[:, None]), 1).astype(">u4")
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("region", "count", "class_id")),
+                 pa.array([r.tobytes() for r in turned], pa.binary())], ["region", "count", "class_id", "turned"])
+
+    def number(batches):
+        last, n = None, 0  # the region that goes on from the batch before, and its rows so far
+        for batch in batches:
+            region = batch.column("region").to_numpy()
+            if not len(region):
+                continue
+            fresh = np.diff(region, prepend=region[:1]) != 0
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(region)), 0))
+            place = np.arange(len(region)) - begin + np.where(begin == 0, n if region[0] == last else 0, 0)
+            last, n = region[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], ["region", "count", "class_id", "place"])
+
+    rows = crowd.join(classes.select("class_id", "signature"), "class_id").select(
+        "tree", "region", "count", "class_id", "signature").mapInArrow(
+        turn, "region bigint, count bigint, class_id bigint, turned binary")
+    order = ["region", "turned", "class_id"]
+    numbered = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("region", "count", "class_id").mapInArrow(
+        number, "region bigint, count bigint, class_id bigint, place bigint").withColumn(
+        slices.PART, F.spark_partition_id()), "in-order")
+    sizes = numbered.groupBy(slices.PART, "region").agg(F.count(F.lit(1)).alias("n"))
+    coming = slices.carried(sizes, ["region"], _before=F.sum("n").over(slices.earlier(["region"])))
+    return slices.carry(numbered, coming, ["region"]).select(
+        "region", "count", "class_id", (F.col("place") + F.coalesce("_before", F.lit(0))).alias("place"))
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """`region`, `class_id` of all regions with two classes or more, each as deep as its size asks for."""
-    out, crowded, before = None, None, None
-    for depth in DEPTHS:
-        rows = placed(classes, depth, before)
-        if crowded is not None:
-            rows = rows.join(crowded, "parent", "left_semi")
-        rows = saved(rows.select("region", "class_id"), "placed")
-        counts = saved(rows.groupBy("region").count().filter("count > 1"), "counts")
-        last = depth == DEPTHS[-1]
-        small = rows.join(counts if last else counts.filter(F.col("count") <= REGION), "region").select(
-            "region", "class_id", "count")
-        out = small if out is None else out.union(small)
-        crowded = counts.filter(F.col("count") > REGION).select(F.col("region").alias("parent"))
-        if last or crowded.isEmpty():
-            return out
-        before = depth
+    """`region`, `class_id`, `own` of all groups of two classes or more to be compared: an own
+    class with every other. A crowded region is dealt out as runs of its sorted
+    order, each with the run before it, whose classes aren't own there."""
+    rows = saved(placed(classes), "placed")
+    counts = saved(rows.groupBy("region").count().filter("count > 1"), "counts")
+    small = rows.join(counts.filter(F.col("count") <= REGION), "region").select("region", "class_id", F.lit(True).alias("own"))
+    crowded = counts.filter(F.col("count") > REGION)
+    if crowded.isEmpty():
+        return small
+    run = F.floor(F.col("place") / REGION)
+    goes_on = (run + 1) * REGION < F.col("count")
+    runs = F.array(F.struct(run.alias("run"), F.lit(True).alias("own")),
+                   F.when(goes_on, F.struct((run + 1).alias("run"), F.lit(False).alias("own"))))
+    dealt = in_order(rows.join(crowded, "region"), classes).select("region", "class_id", F.explode(runs).alias("r"))
+    return small.union(dealt.filter("r IS NOT NULL").select(F.xxhash64("region", "r.run"), "class_id", "r.own"))
 
 
 def members(classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -153,23 +192,21 @@ def members(classes: DataFrame, found: DataFrame) -> DataFrame:
 
     small = saved(classes.select("class_id", "n_shingles", "signature").mapInArrow(
         run, "class_id bigint, n_shingles bigint, brief binary"), "brief")
-    # a region that can't be split is cut into runs, each joined with the head of the one before
-    cut = F.when(F.col("count") > REGION, F.pmod(F.xxhash64("class_id"), F.ceil(F.col("count") / REGION).cast("bigint")))
-    spread = found.withColumn("part", F.explode(F.array(F.coalesce(cut, F.lit(0)), F.coalesce(cut + 1, F.lit(-1)))))
-    spread = spread.filter("part >= 0").select(F.xxhash64("region", "part").alias("region"), "class_id")
-    return saved(spread.join(small, "class_id"), "members")
+    return saved(found.join(small, "class_id"), "members")
 
 
 def alike(brief: np.ndarray, sizes: np.ndarray, i: int, low: float) -> np.ndarray:
     """Estimated likeness of row i to the rows before it; 0 where sizes or estimate rule a link out."""
-    same = (brief[:i] == brief[i]).mean(1)
+    equal = (brief[:i] == brief[i]).view(np.uint64).sum(1)  # a count in each of eight bytes, up to 16
+    same = (equal * np.uint64(0x0101010101010101) >> np.uint64(56)) / HASHES
     estimate = (same - 1 / 256) / (1 - 1 / 256)  # two different minima share a byte now and then
     ratio = np.minimum(sizes[:i], sizes[i]) / np.maximum(sizes[:i], sizes[i])
     return np.where((estimate >= low) & (100 * ratio >= THRESHOLD), estimate, 0)
 
 
 def _by_region(rows: DataFrame, pairs) -> DataFrame:
-    """Distinct pairs that `pairs(ids, sizes, briefs, components, sets)` names in each region."""
+    """Distinct pairs that `pairs(ids, sizes, briefs, components, sets, first)` names in each region;
+    the rows from `first` on are own."""
     def run(batches):
         kept = None
 
@@ -180,9 +217,11 @@ def _by_region(rows: DataFrame, pairs) -> DataFrame:
             brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, HASHES)
             component = table.column("component").to_numpy()
             sets = table.column("shingles")
+            own = table.column("own").to_numpy(zero_copy_only=False)
             found = [np.zeros((0, 2), np.int64)]
             for a, b in zip(edges[:-1], edges[1:]):
-                found += pairs(ids[a:b], sizes[a:b], brief[a:b], component[a:b], sets.slice(a, b - a))
+                found += pairs(ids[a:b], sizes[a:b], brief[a:b], component[a:b], sets.slice(a, b - a),
+                               int(np.count_nonzero(~own[a:b])))
             found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -196,17 +235,17 @@ def _by_region(rows: DataFrame, pairs) -> DataFrame:
         if kept:
             yield work(pa.Table.from_batches(kept).combine_chunks())
 
-    columns = ["region", "class_id", "n_shingles", "brief", "component", "shingles"]
-    ordered = rows.select(*columns).repartition("region").sortWithinPartitions("region", "class_id")
+    columns = ["region", "own", "class_id", "n_shingles", "brief", "component", "shingles"]
+    ordered = rows.select(*columns).repartition("region").sortWithinPartitions("region", "own", "class_id")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def nearest_pairs(rows: DataFrame, low: float) -> DataFrame:
-    """Each class of a region with the one before it that is most alike; and
+    """Each own class of a region with the one before it that is most alike; and
     every class that is alike to another, with itself."""
-    def pairs(ids, sizes, brief, *_):
+    def pairs(ids, sizes, brief, _, __, first):
         found, any_ = [], np.zeros(len(ids), bool)
-        for i in range(1, len(ids)):
+        for i in range(max(1, first), len(ids)):
             near = alike(brief, sizes, i, low)
             j = int(near.argmax())
             if near[j] > 0:
@@ -219,11 +258,11 @@ def nearest_pairs(rows: DataFrame, low: float) -> DataFrame:
     return saved(_by_region(plain, pairs), "nearest")
 
 
-def open_pairs(sizes, brief, component, low: float) -> np.ndarray:
-    """Places (j < i) of a region's classes that are alike and in different components."""
+def open_pairs(sizes, brief, component, first: int, low: float) -> np.ndarray:
+    """Places (j < i, i own) of a region's classes that are alike and in different components."""
     found = [np.zeros((0, 2), np.int64)]
     if (component != component[0]).any():
-        for i in range(1, len(sizes)):
+        for i in range(max(1, first), len(sizes)):
             near = np.flatnonzero((alike(brief, sizes, i, low) > 0) & (component[:i] != component[i]))
             found.append(np.stack([near, np.full(len(near), i)], 1))
     return np.concatenate(found)
@@ -252,12 +291,12 @@ def open_links(rows: DataFrame, sets: DataFrame, low: float, threshold: int) ->
     All open pairs are confirmed on full sets where the region is at hand, so
     only links leave the task, not pairs.
     """
-    def concerned(ids, sizes, brief, component, _):
-        ids = ids[np.unique(open_pairs(sizes, brief, component, low))]
+    def concerned(ids, sizes, brief, component, _, first):
+        ids = ids[np.unique(open_pairs(sizes, brief, component, first, low))]
         return [np.stack([ids, ids], 1)] if len(ids) else []
 
-    def links(ids, sizes, brief, component, shingles):
-        pairs = open_pairs(sizes, brief, component, low)
+    def links(ids, sizes, brief, component, shingles, first):
+        pairs = open_pairs(sizes, brief, component, first, low)
         if not len(pairs):
             return []
         which, place = np.unique(pairs, return_inverse=True)

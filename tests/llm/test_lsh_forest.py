@@ -81,6 +81,14 @@ def test_links_and_components(spark, monkeypatch, region):
     check(spark, spark.createDataFrame(corpus(), "doc_id bigint, text string"))
 
 
+def test_a_crowd_of_copies_with_own_tails(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "REGION", 64)
+    shared = " ".join(f"s{i}" for i in range(300))  # all pairs at 0.9
+    rows = [(i, shared + "".join(f" t{i}x{j}" for j in range(16))) for i in range(2000)]
+    got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert len(got) == 2000 and {r["component_id"] for r in got} == {0}
+
+
 def test_given_documents(spark, folder):
     check(spark, spark.read.parquet(f"{folder}/documents.parquet"))
 
