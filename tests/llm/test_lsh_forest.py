@@ -89,6 +89,25 @@ def test_a_crowd_of_copies_with_own_tails(spark, monkeypatch):
     assert len(got) == 2000 and {r["component_id"] for r in got} == {0}
 
 
+def test_places_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "REGION", 8)
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    signature = {i: np.where(rng.random(128) < 0.9, 7, rng.integers(0, 99, 128)).astype(np.uint32) for i in range(90)}
+    classes = spark.createDataFrame([(i, s.tobytes()) for i, s in signature.items()], "class_id bigint, signature binary")
+    groups = {}
+    for r in lsh_forest.regions(classes).collect():
+        groups.setdefault(r["region"], []).append((r["class_id"], r["own"]))
+    met = {(min(a, b), max(a, b)) for g in groups.values() for a, own in g for b, _ in g if own and a != b}
+    assert max(map(len, groups.values())) <= 16
+    for tree in range(lsh_forest.TREES):  # every class meets its neighbours of longest common prefix
+        order = sorted((tuple(np.roll(s, -4 * tree)), i) for i, s in signature.items())
+        for at in range(len(order) - 8):
+            for near, i in order[at + 1:at + 9]:
+                assert near[:4] != order[at][0][:4] or tuple(sorted((i, order[at][1]))) in met
+
+
 def test_given_documents(spark, folder):
     check(spark, spark.read.parquet(f"{folder}/documents.parquet"))
 
