@@ -195,13 +195,13 @@ def members(classes: DataFrame, found: DataFrame) -> DataFrame:
     return saved(found.join(small, "class_id"), "members")
 
 
-def alike(brief: np.ndarray, sizes: np.ndarray, i: int, low: float) -> np.ndarray:
+def alike(brief: np.ndarray, sizes: np.ndarray, i: int, low: float, threshold: int) -> np.ndarray:
     """Estimated likeness of row i to the rows before it; 0 where sizes or estimate rule a link out."""
     equal = (brief[:i] == brief[i]).view(np.uint64).sum(1)  # a count in each of eight bytes, up to 16
     same = (equal * np.uint64(0x0101010101010101) >> np.uint64(56)) / HASHES
     estimate = (same - 1 / 256) / (1 - 1 / 256)  # two different minima share a byte now and then
-    ratio = np.minimum(sizes[:i], sizes[i]) / np.maximum(sizes[:i], sizes[i])
-    return np.where((estimate >= low) & (100 * ratio >= THRESHOLD), estimate, 0)
+    small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+    return np.where((estimate >= low) & (100 * small >= threshold * large), estimate, 0)
 
 
 def _by_region(rows: DataFrame, pairs) -> DataFrame:
@@ -240,13 +240,13 @@ def _by_region(rows: DataFrame, pairs) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def nearest_pairs(rows: DataFrame, low: float) -> DataFrame:
+def nearest_pairs(rows: DataFrame, low: float, threshold: int) -> DataFrame:
     """Each own class of a region with the one before it that is most alike; and
     every class that is alike to another, with itself."""
     def pairs(ids, sizes, brief, _, __, first):
         found, any_ = [], np.zeros(len(ids), bool)
         for i in range(max(1, first), len(ids)):
-            near = alike(brief, sizes, i, low)
+            near = alike(brief, sizes, i, low, threshold)
             j = int(near.argmax())
             if near[j] > 0:
                 found.append([ids[j], ids[i]])
@@ -258,12 +258,12 @@ def nearest_pairs(rows: DataFrame, low: float) -> DataFrame:
     return saved(_by_region(plain, pairs), "nearest")
 
 
-def open_pairs(sizes, brief, component, first: int, low: float) -> np.ndarray:
+def open_pairs(sizes, brief, component, first: int, low: float, threshold: int) -> np.ndarray:
     """Places (j < i, i own) of a region's classes that are alike and in different components."""
     found = [np.zeros((0, 2), np.int64)]
     if (component != component[0]).any():
         for i in range(max(1, first), len(sizes)):
-            near = np.flatnonzero((alike(brief, sizes, i, low) > 0) & (component[:i] != component[i]))
+            near = np.flatnonzero((alike(brief, sizes, i, low, threshold) > 0) & (component[:i] != component[i]))
             found.append(np.stack([near, np.full(len(near), i)], 1))
     return np.concatenate(found)
 
@@ -292,11 +292,11 @@ def open_links(rows: DataFrame, sets: DataFrame, low: float, threshold: int) ->
     only links leave the task, not pairs.
     """
     def concerned(ids, sizes, brief, component, _, first):
-        ids = ids[np.unique(open_pairs(sizes, brief, component, first, low))]
+        ids = ids[np.unique(open_pairs(sizes, brief, component, first, low, threshold))]
         return [np.stack([ids, ids], 1)] if len(ids) else []
 
     def links(ids, sizes, brief, component, shingles, first):
-        pairs = open_pairs(sizes, brief, component, first, low)
+        pairs = open_pairs(sizes, brief, component, first, low, threshold)
         if not len(pairs):
             return []
         which, place = np.unique(pairs, return_inverse=True)
@@ -363,13 +363,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = sketches(docs, id_col, text_col, size)
     full = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = saved(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
-    least = 100 // (100 - threshold) if threshold < 100 else 1 << 40  # sets smaller than that link to equals only
+    least = -(-threshold // (100 - threshold)) if threshold < 100 else 1 << 40  # sets smaller than that link to equals only
     able = classes.filter(F.col("n_shingles") >= least).select("d1", "d2", F.col("class_id").alias("doc_id"))
     signed = saved(full.join(able, ["d1", "d2", "doc_id"], "left_semi").select(
         F.col("doc_id").alias("class_id"), "n_shingles", "signature"), "signed")
     low = threshold / 100 - SLACK
     rows = members(signed, regions(signed))
-    nearest = nearest_pairs(rows, low)
+    nearest = nearest_pairs(rows, low, threshold)
     wanted = nearest.filter("a = b").select(F.col("a").alias("class_id"))
     sets = class_sets(docs, wanted, id_col, text_col, size)
     links = saved(confirm(nearest.filter("a < b"), sets, threshold), "links")

@@ -108,6 +108,21 @@ def test_places_in_a_crowd(spark, monkeypatch):
                 assert near[:4] != order[at][0][:4] or tuple(sorted((i, order[at][1]))) in met
 
 
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_other_thresholds(spark, threshold):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [" ".join(words[:n]) for n in (400, 336, 370, 290)]  # copies with added paragraphs: 332/396 is 0.838
+    rows += [" ".join([f"v{i}" for i in range(n)]) for n in (8, 9)]  # 4 of 5 shingles
+    rows += [" ".join(edited(rng, words[100:], n)) for n in range(12)]
+    rows = list(enumerate(rows))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets
+             if a < b and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=threshold)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == roots(sorted(sets), links)
+
+
 def test_given_documents(spark, folder):
     check(spark, spark.read.parquet(f"{folder}/documents.parquet"))
 
