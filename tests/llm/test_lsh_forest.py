@@ -123,6 +123,18 @@ def test_other_thresholds(spark, threshold):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == roots(sorted(sets), links)
 
 
+def test_estimates_let_links_pass():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pairs = rng.integers(0, 1 << 63, (20000, 20), dtype=np.uint64)  # 17 of 20 shared
+    sets = [s for p in pairs for s in (np.sort(p[:18]), np.sort(np.append(p[:17], p[18:])))]
+    brief = (lsh_forest.signatures(sets) & 0xFF).astype(np.uint8)
+    low = lsh_forest.THRESHOLD / 100 - lsh_forest.SLACK
+    sizes = np.array([18, 19])
+    assert all(lsh_forest.alike(brief[i:i + 2], sizes, 1, low, 85)[0] > 0 for i in range(0, 40000, 2))
+
+
 def test_given_documents(spark, folder):
     check(spark, spark.read.parquet(f"{folder}/documents.parquet"))
 
