@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near duplicates."""
+    """One document, the one of the smallest id, of each group of near duplicates (similarity of 0.85 or more)."""
     return lsh_forest.drop_near_duplicates(docs)
 
 
