@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+import warnings
 from urllib.parse import quote
 
 import zstandard
@@ -87,6 +88,7 @@ def train(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
+        warnings.warn(f"no dictionary could be trained on {len(samples)} records; their bytes stand in for it", stacklevel=2)
         return b"".join(samples)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
 
 
@@ -132,8 +134,9 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "
     """Write the archives; a manifest row for each."""
     spark = pages.sparkSession
     folder = new_run_dir(spark, "archives")
-    small = pages.filter(F.length(html_col).between(1, SAMPLE_BYTES // 4)).select(
-        F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h")).withColumn(
+    # long pages are cut to their first characters, for training only
+    small = pages.filter(F.length(html_col) > 0).select(
+        F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.substring(html_col, 1, SAMPLE_BYTES // 4).alias("h")).withColumn(
         "key", F.xxhash64("i", "h"))
     keys = small.select("key").distinct().orderBy("key").limit(SAMPLE_RECORDS)  # hashes, before any text moves
     sample = small.join(F.broadcast(keys), "key").groupBy("key").agg(

@@ -47,3 +47,16 @@ def test_pages(spark):
                      "response" if refers is None else "revisit", refers))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert warc.read_archives(warc.write_archives(table.filter("false"))).count() == 0
+
+
+def test_dictionary_of_long_pages(spark):
+    import struct
+
+    rows = [(i, f"http://h/{i}", "".join(f"<p class=x>{(i * j) % 977} entry {j}</p>" for j in range(400))) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc.write_archives(pages)
+    for row in manifest.collect():
+        files, place = warc.open_folder(row["path"])
+        with files.open_input_stream(place) as f:
+            assert struct.unpack("<II", f.read(8))[1] > 1000
+    assert warc.read_archives(manifest).filter("record_type = 'response'").count() == 300
