@@ -6,6 +6,7 @@ from . import (
     chat,
     decontaminate,
     lsh_forest,
+    merge_replay,
     packing,
     pii,
     pivot_search,
@@ -26,4 +27,5 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_chat": chat.query,
     "op10_packing": packing.query,
+    "op11_merge_replay": merge_replay.query,
 }
