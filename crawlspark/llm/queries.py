@@ -11,6 +11,7 @@ from . import (
     pii,
     pivot_search,
     repeats,
+    spelling,
     token_files,
     toxicity,
     warc,
@@ -28,4 +29,5 @@ QUERIES = {
     "op9_chat": chat.query,
     "op10_packing": packing.query,
     "op11_merge_replay": merge_replay.query,
+    "op12_spelling": spelling.query,
 }
