@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lsh_forest, pivot_search, spelling, warc
+from . import chat, chat_repair, lsh_forest, pivot_search, spelling, warc
 
 ORACLES: dict[str, str] = {
     "op1_pivot_search": pivot_search.ORACLE,
@@ -10,4 +10,5 @@ ORACLES: dict[str, str] = {
     "op5_lsh_forest": lsh_forest.ORACLE,
     "op9_chat": chat.ORACLE,
     "op12_spelling": spelling.ORACLE,
+    "op13_chat_repair": chat_repair.ORACLE,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     chat,
+    chat_repair,
     decontaminate,
     lsh_forest,
     merge_replay,
@@ -30,4 +31,5 @@ QUERIES = {
     "op10_packing": packing.query,
     "op11_merge_replay": merge_replay.query,
     "op12_spelling": spelling.query,
+    "op13_chat_repair": chat_repair.query,
 }
