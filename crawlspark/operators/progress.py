@@ -113,11 +113,16 @@ def site_stats(rows: DataFrame) -> DataFrame:
     ).where(F.col("last_update").isNotNull())
 
 
+def add_site_stats(stats: DataFrame) -> DataFrame:
+    """Statistics of any number of parts, one row per job and site."""
+    return stats.groupBy(*SITE_KEYS).agg(
+        F.max("last_update").alias("last_update"), *[F.sum(c).alias(c) for c in SITE_COUNTERS])
+
+
 def merge_site_stats(target: DataFrame, deltas: DataFrame) -> DataFrame:
     """Existing statistics with new deltas added: updated where the row exists,
     inserted where it does not."""
-    return target.unionByName(site_stats(deltas)).groupBy(*SITE_KEYS).agg(
-        F.max("last_update").alias("last_update"), *[F.sum(c).alias(c) for c in SITE_COUNTERS])
+    return add_site_stats(target.unionByName(site_stats(deltas)))
 
 
 def audit_rows(events: DataFrame) -> DataFrame:

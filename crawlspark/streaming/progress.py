@@ -91,8 +91,9 @@ SITE_DELTAS = T.StructType([
 ])
 
 
-def site_stats_sink(path: str) -> Sink:
-    return lambda events, batch_id: deltas.write_batch(progress.site_deltas(events), path, batch_id)
+def site_stats_sink(path: str, fan: int = deltas.FAN) -> Sink:
+    return lambda events, batch_id: deltas.add_batch(
+        progress.site_deltas(events), path, batch_id, progress.add_deltas, SITE_DELTAS, fan)
 
 
 def read_site_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -114,10 +115,10 @@ RUN_ENDS = T.StructType([
 ])
 
 
-def job_runs_sink(path: str) -> Sink:
+def job_runs_sink(path: str, fan: int = deltas.FAN) -> Sink:
     def sink(events: DataFrame, batch_id: int) -> None:
-        deltas.write_batch(runs.run_starts(events), f"{path}/starts", batch_id)
-        deltas.write_batch(runs.run_ends(events), f"{path}/ends", batch_id)
+        deltas.add_batch(runs.run_starts(events), f"{path}/starts", batch_id, runs.add_starts, RUN_STARTS, fan)
+        deltas.add_batch(runs.run_ends(events), f"{path}/ends", batch_id, runs.add_ends, RUN_ENDS, fan)
     return sink
 
 
@@ -135,11 +136,12 @@ MOVES = T.StructType([
 ])
 
 
-def running_jobs_sink(path: str) -> Sink:
+def running_jobs_sink(path: str, fan: int = deltas.FAN) -> Sink:
     """The starts and completions of a batch. What they do to the gauge depends
     on all events before them in time, so it is folded when read: batches may
-    come in any order."""
-    return lambda events, batch_id: deltas.write_batch(timeline.lifecycle(events), path, batch_id)
+    come in any order. Merges keep every one of them, in fewer files."""
+    return lambda events, batch_id: deltas.add_batch(
+        timeline.lifecycle(events), path, batch_id, lambda moves: moves.hint("rebalance"), MOVES, fan)
 
 
 def read_running_jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -160,9 +162,14 @@ PAGE_COUNTS = T.StructType([
 ])
 
 
-def pages_rate_sink(path: str) -> Sink:
+def pages_rate_sink(path: str, fan: int = deltas.FAN) -> Sink:
     """Pages of a batch by window and site; rows may come late and windows need not close."""
-    return lambda seen, batch_id: deltas.write_batch(metrics.pages_counted(seen), path, batch_id)
+    return lambda seen, batch_id: deltas.add_batch(
+        metrics.pages_counted(seen), path, batch_id, add_page_counts, PAGE_COUNTS, fan)
+
+
+def add_page_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("window_start", "site").agg(F.sum("pages").alias("pages"))
 
 
 def read_pages_rate(spark: SparkSession, path: str) -> DataFrame:
