@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Bytes of distinct words that a task holds at once, and places of words or bytes of a step over them.
-WORD_BYTES, STEP = 1 << 22, 1 << 20
+#: Letters of distinct words that a task keeps, and the words of texts that it holds at once.
+WORD_BYTES, STEP = 3 << 20, 1 << 20
 
 _NONE = np.int64(1) << 40
 
@@ -104,10 +104,10 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     size = np.array([len(w) for w in words], np.int64)
     byte = np.frombuffer(b"".join(words), np.uint8)
     n = len(byte)
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
     last = np.cumsum(size) - 1
     token = vocab.of_byte[byte]
-    left, right = np.arange(n) - 1, np.arange(n) + 1
+    left, right = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
     right[last] = -1
     left[last - size + 1] = -1
     alive = whole[owner] < 0
@@ -262,7 +262,7 @@ def encode_texts(texts, vocab: Vocabulary, pattern: str, word_bytes: int = WORD_
                 parts[:] = settled(parts)
                 waiting, held = [parts], 0
                 block.clear()
-        if held >= 4 * STEP:
+        if held >= STEP:
             yield from flush(waiting)
             waiting, held = [], 0
     yield from flush(waiting)
