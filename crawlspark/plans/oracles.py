@@ -312,6 +312,38 @@ FROM observations WHERE bytes > 0 GROUP BY ALL""")
 
 # --- streams: the same results as in batch ---------------------------------
 
+# --- stored tables -----------------------------------------------------------
+
+_URL = "regexp_replace({}.url, '#.*$', '')"
+oracle("new_frontier", "tasks", f"""
+SELECT job_id, {_URL.format('n')} AS norm_url, min(pos) AS pos, arg_min(url, pos) AS url, count(*) AS copies FROM tasks n
+WHERE pos % 2 = 1 AND NOT EXISTS (
+  SELECT 1 FROM tasks o WHERE o.pos % 2 = 0 AND o.job_id = n.job_id AND {_URL.format('o')} = {_URL.format('n')})
+GROUP BY ALL""")
+oracle("new_bodies", "fetches", """
+SELECT sha256(body) AS content_hash, arg_min(fetch_id, (fetched_at, fetch_id)) AS fetch_id, count(*) AS copies FROM fetches
+WHERE fetch_id % 3 <> 0 AND body NOT IN (SELECT body FROM fetches WHERE fetch_id % 3 = 0) GROUP BY body""")
+oracle("repeated_jobs", "crawl_events", """
+SELECT job_id, event_id AS seq FROM crawl_events WHERE stage = 'JOB_START' AND event_id % 2 = 1
+  AND job_id IN (SELECT job_id FROM crawl_events WHERE stage = 'JOB_START' AND event_id % 2 = 0)""")
+ORACLES["stored_job_runs"] = ORACLES["job_runs"]
+oracle("stored_site_stats", "good_events", """
+SELECT job_id, site, max(latest) AS last_update, CAST(sum(v) AS BIGINT) AS visits, CAST(sum(b) AS BIGINT) AS bytes_total,
+  CAST(coalesce(sum(v) FILTER (status_class = '2xx'), 0) AS BIGINT) AS fetch_2xx,
+  CAST(coalesce(sum(v) FILTER (status_class = '3xx'), 0) AS BIGINT) AS fetch_3xx,
+  CAST(coalesce(sum(v) FILTER (status_class = '4xx'), 0) AS BIGINT) AS fetch_4xx,
+  CAST(coalesce(sum(v) FILTER (status_class = '5xx'), 0) AS BIGINT) AS fetch_5xx
+FROM (SELECT job_id, site, status_class, event_id % 3 AS part, sum(visits) AS v, sum(bytes) AS b, max(ts) AS latest
+  FROM good_events WHERE stage = 'FETCH_DONE' AND status_class <> 'other' GROUP BY ALL) d
+WHERE v <> 0 OR b <> 0 GROUP BY job_id, site""")
+oracle("get_stored_job", "job_runs", "SELECT * FROM job_runs WHERE id = '00000000-0000-7000-8000-000000000007'")
+ORACLES["newest_jobs"] = ORACLES["list_jobs"]
+oracle("stored_job_sites", "site_stats", """
+SELECT * FROM site_stats WHERE job_id = '00000000-0000-7000-8000-000000000007'
+ORDER BY last_update DESC, site LIMIT 200 OFFSET 1""")
+
+# --- streams -------------------------------------------------------------------
+
 for _stream, _batch in (("stream_site_stats", "site_stats"), ("stream_job_runs", "job_runs"),
                         ("stream_running_jobs", "running_jobs")):
     ORACLES[_stream] = ORACLES[_batch]

@@ -13,6 +13,8 @@ from ..functions import content, status, times, urls
 from ..operators import frontier, jobs, metrics, pages, progress, ratelimit, runs, timeline
 from ..session import new_run_dir
 from ..sources import derived, schemas, tables
+from ..stored import buckets, clustered
+from ..stored.history import History
 from ..streaming import pages as page_stream
 from ..streaming import progress as progress_stream
 
@@ -595,6 +597,84 @@ def bytes_rate(spark, folder):
     return metrics.bytes_rate(derived.observations(spark, folder))
 
 
+# --- stored tables -----------------------------------------------------------
+
+# What earlier runs stored is here a part of the given rows, written first; the rest comes in.
+
+@query
+def new_frontier(spark, folder):
+    """Tasks whose URL no earlier run of the job has had."""
+    given = derived.tasks(spark, folder).select("job_id", "pos", "url")
+    history = History(spark, new_run_dir(spark, "frontier"), {"job_id": "string", "norm_url": "string"})
+    history.add(frontier.dedup_frontier(given.where(F.col("pos") % 2 == 0)))
+    return history.new(frontier.dedup_frontier(given.where(F.col("pos") % 2 == 1)))
+
+
+@query
+def new_bodies(spark, folder):
+    """Bodies that no earlier run has stored."""
+    given = derived.fetches(spark, folder)
+    history = History(spark, new_run_dir(spark, "bodies"), {"content_hash": "string"})
+    history.add(pages.dedup_by_hash(given.where(F.col("fetch_id") % 3 == 0)))
+    return history.new(pages.dedup_by_hash(given.where(F.col("fetch_id") % 3 != 0)))
+
+
+@query
+def repeated_jobs(spark, folder):
+    """Creations of jobs that exist."""
+    given = _creations(spark, folder)
+    history = History(spark, new_run_dir(spark, "jobs"), {"job_id": "string"})
+    history.add(given.where(F.col("seq") % 2 == 0))
+    return history.known(given.where(F.col("seq") % 2 == 1))
+
+
+def _thirds(spark, folder):
+    valid = _valid(spark, folder)
+    return [valid.where(F.col("event_id") % 3 == i) for i in (2, 0, 1)]
+
+
+@query
+def stored_job_runs(spark, folder):
+    """Runs after three upserts, the last of which comes with events between those of the others."""
+    table = buckets.job_runs_table(spark, new_run_dir(spark, "stored-runs"), 16)
+    for part in _thirds(spark, folder):
+        table.upsert(buckets.run_facts(part))
+    return buckets.read_job_runs(table)
+
+
+@query
+def stored_site_stats(spark, folder):
+    table = buckets.site_stats_table(spark, new_run_dir(spark, "stored-sites"), 16)
+    for part in _thirds(spark, folder):
+        table.upsert(progress.site_stats(progress.fetch_rows(part)))
+    return table.read()
+
+
+#: The job that point reads look for.
+ONE_JOB = derived.JOB_PREFIX + "000000000007"
+
+
+@query
+def get_stored_job(spark, folder):
+    table = clustered.runs_by_id(spark, new_run_dir(spark, "runs-by-id"))
+    table.write(runs.job_runs(_valid(spark, folder)))
+    return runs.get_job(table.point(ONE_JOB), ONE_JOB)
+
+
+@query
+def newest_jobs(spark, folder):
+    table = clustered.runs_by_time(spark, new_run_dir(spark, "runs-by-time"))
+    table.write(runs.job_runs(_valid(spark, folder)))
+    return table.newest(40, 10, ["id"], F.col("status") == "error", share=0.2)
+
+
+@query
+def stored_job_sites(spark, folder):
+    table = clustered.sites_by_job(spark, new_run_dir(spark, "sites-by-job"))
+    table.write(progress.site_stats(progress.fetch_rows(_valid(spark, folder))))
+    return runs.list_job_sites(table.point(ONE_JOB), ONE_JOB, limit=200, offset=1)
+
+
 # --- streams ---------------------------------------------------------------
 
 # Every stream reads its table in several files of shared storage, a file per batch and
