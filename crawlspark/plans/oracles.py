@@ -259,6 +259,29 @@ WHERE (host = 'example.com' OR host LIKE '%.example.com' OR host = 'example.org'
 oracle("policy_gate", "tasks", """
 SELECT job_id, pos, host, host LIKE 'm.%' OR length(host) % 3 <> 0 AS fetch_allowed,
   host LIKE 'm.%' OR length(host) % 2 = 0 AS headless_allowed FROM tasks""")
+_PATH = "regexp_extract({}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_PARTS = "list_filter(string_split({}, '{}'), lambda x: x <> '')"
+oracle("policy_rules", "tasks", f"""
+SELECT t.job_id, t.pos, t.url, t.host, t.depth, coalesce(best[6] = 0, true) AS fetch_allowed, coalesce(best[7] = 0, true) AS headless_allowed
+FROM tasks t LEFT JOIN (
+  SELECT a.job_id, a.pos, max([r.priority, r.n_labels, r.n_segments, CAST(r.job IS NOT NULL AS INT), CAST(r.low IS NOT NULL AS INT),
+    CAST(r.no_fetch AS INT), CAST(r.no_headless AS INT)]) AS best
+  FROM (
+    SELECT job_id, pos, depth, array_to_string(labels[len(labels) - k + 1:], '.') AS host, array_to_string(segments[:j], '/') AS path
+    FROM (SELECT job_id, pos, depth, {_PARTS.format("lower(host)", ".")} AS labels, {_PARTS.format(_PATH.format("url"), "/")} AS segments FROM tasks) p,
+      unnest(range(len(labels) + 1)) AS u(k), unnest(range(len(segments) + 1)) AS v(j)
+  ) a JOIN (
+    SELECT CASE WHEN i % 3 = 1 THEN concat('00000000-0000-7000-8000-', lpad(CAST(page_id * 7 % 100 AS VARCHAR), 12, '0')) END AS job,
+      array_to_string(labels, '.') AS host, array_to_string(segments, '/') AS path, len(labels) AS n_labels, len(segments) AS n_segments,
+      CASE WHEN (page_id + i) % 5 = 0 THEN 1 END AS low, CASE WHEN (page_id + i) % 41 = 0 THEN 1 ELSE 0 END AS priority,
+      (page_id + i) % 3 = 0 AS no_fetch, (page_id * 3 + i) % 4 = 0 AS no_headless
+    FROM (SELECT page_id, i, {_PARTS.format("lower(CASE WHEN i % 4 = 3 THEN regexp_replace(site, '^[^.]*[.]', '') ELSE site END)", ".")} AS labels,
+        {_PARTS.format("CASE WHEN i < 2 THEN '' WHEN i < 4 THEN path ELSE path || '/r' || i END", "/")} AS segments
+      FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1) AS site, {_PATH.format("url")} AS path FROM pages) p,
+        range(400) AS w(i)) q
+  ) r ON r.host = a.host AND r.path = a.path AND (r.job IS NULL OR r.job = a.job_id) AND (r.low IS NULL OR a.depth >= r.low)
+  GROUP BY a.job_id, a.pos
+) d ON d.job_id = t.job_id AND d.pos = t.pos""")
 oracle("cap_frontier", "tasks", """
 SELECT job_id, host, pos, host_rank, job_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY pos) AS job_rank

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import content, status, times, urls
-from ..operators import frontier, jobs, metrics, pages, progress, ratelimit, runs, timeline
+from ..operators import frontier, jobs, metrics, pages, progress, ratelimit, rules, runs, timeline
 from ..session import new_run_dir
 from ..sources import derived, schemas, tables
 from ..stored import buckets, clustered
@@ -507,6 +507,29 @@ def policy_gate(spark, folder):
         "job_id", "pos", "host", "fetch_allowed", "headless_allowed")
 
 
+def _rules(spark, folder):
+    """Many rules for every page: its site and the domains above, paths and depths, for all jobs and for single ones."""
+    n = F.col("page_id")
+    site = F.regexp_extract("url", derived.HOST, 1)
+    of_page = tables.pages(spark, folder).select("page_id", site.alias("site"), rules.path_of(F.col("url")).alias("path"))
+    given = of_page.select(
+        "page_id", "site", "path", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i")).select(
+        F.when(F.col("i") % 3 == 1, derived.job_id_of(n * 7 % 100)).alias("job_id"),
+        F.when(F.col("i") % 4 == 3, F.regexp_replace("site", r"^[^.]*\.", "")).otherwise(F.col("site")).alias("host"),
+        F.when(F.col("i") < 2, "").when(F.col("i") < 4, F.col("path"))
+        .otherwise(F.concat("path", F.lit("/r"), F.col("i").cast("string"))).alias("path"),
+        F.when((n + F.col("i")) % 5 == 0, 1).cast("bigint").alias("min_depth"), F.lit(None).cast("bigint").alias("max_depth"),
+        F.when((n + F.col("i")) % 41 == 0, 1).otherwise(0).alias("priority"),
+        ((n + F.col("i")) % 3 != 0).alias("allow_fetch"), ((n * 3 + F.col("i")) % 4 != 0).alias("allow_headless"))
+    return given
+
+
+@query
+def policy_rules(spark, folder):
+    return rules.decide(derived.tasks(spark, folder).select("job_id", "pos", "url", "host", "depth"),
+                        _rules(spark, folder))
+
+
 @query
 def cap_frontier(spark, folder):
     return frontier.cap_frontier(derived.tasks(spark, folder)).select(
