@@ -69,8 +69,8 @@ def stored_pages(
     })
 
 
-def retrievals(pages: DataFrame) -> DataFrame:
-    """Retrieval rows. Pages without an id are refused."""
+def retrievals(pages: DataFrame, **more: Column) -> DataFrame:
+    """Retrieval rows, with columns of one's own at the end. Pages without an id are refused."""
     return pages.where(F.coalesce("id", F.lit("")) != "").select(
         "id", "job_id", "job_started_at",
         times.hour_of(F.col("fetched_at")).alias("partition_ts"),
@@ -82,7 +82,8 @@ def retrievals(pages: DataFrame) -> DataFrame:
         F.col("status_code").alias("retrieval_status_code"),
         F.col("content_type").alias("retrieval_content_type"),
         F.lit(None).cast("string").alias("parent_id"),
-        F.lit(None).cast("timestamp_ntz").alias("parent_ts"))
+        F.lit(None).cast("timestamp_ntz").alias("parent_ts"),
+        *[column.alias(name) for name, column in more.items()])
 
 
 def _write(rows: DataFrame, path: str, layout: list[str], run_id: str | None) -> None:
@@ -101,15 +102,17 @@ def write_retrievals(rows: DataFrame, path: str, run_id: str | None = None) -> N
     _write(rows.hint("rebalance", "partition_ts"), path, ["partition_ts"], run_id)
 
 
+def message() -> Column:
+    """The completion message of a stored page."""
+    return content.message_json(
+        F.col("id"), F.col("job_id"), F.col("site"), F.col("requested_url"), F.col("html_blob"), F.col("meta_blob"))
+
+
 def notifications(pages: DataFrame, topic: str | None) -> DataFrame:
     """Completion messages for stored pages; none without a topic."""
     if not topic:
         pages = pages.where(F.lit(False))
-    return pages.select(
-        F.lit(topic or "").alias("topic"),
-        content.message_json(
-            F.col("id"), F.col("job_id"), F.col("site"), F.col("requested_url"),
-            F.col("html_blob"), F.col("meta_blob")).alias("value"))
+    return pages.select(F.lit(topic or "").alias("topic"), message().alias("value"))
 
 
 def page_meta(pages: DataFrame) -> DataFrame:

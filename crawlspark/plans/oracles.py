@@ -387,3 +387,5 @@ FROM {_STREAMED}""")
 _STREAM_MESSAGE = _escaped(r"""CAST(json_object('crawl_id', id, 'html_blob', folder || '/raw.html', 'job_id', job_id,
   'meta_blob', folder || '/meta.json', 'schema_version', '1', 'site', site, 'url', regexp_replace(url, '#.*$', '')) AS VARCHAR)""")
 oracle("stream_notifications", "fetches", f"SELECT {_STREAM_MESSAGE} AS value FROM {_STREAMED}")
+oracle("stream_outbox", "fetches", f"""
+SELECT id, {_STREAM_MESSAGE} AS value, url AS retrieval_url, sha256(body) AS retrieval_hashcode FROM {_STREAMED}""")

@@ -15,6 +15,7 @@ from ..session import new_run_dir
 from ..sources import derived, schemas, tables
 from ..stored import buckets, clustered
 from ..stored.history import History
+from ..streaming import outbox
 from ..streaming import pages as page_stream
 from ..streaming import progress as progress_stream
 
@@ -775,3 +776,14 @@ def stream_notifications(spark, folder):
     _run(page_stream.stream_notifications(
         _page_stream(spark, folder), "crawled-pages", f"{path}/checkpoint", path=f"{path}/out"))
     return spark.read.schema("value string").text(f"{path}/out")
+
+
+@query
+def stream_outbox(spark, folder):
+    """Messages that a consumer counts, each with the retrieval row that it tells of."""
+    path = new_run_dir(spark, "outbox")
+    box = outbox.Outbox(spark, f"{path}/table", "crawled-pages", fan=3)
+    sender = lambda messages, stream, number: messages.write.mode("append").parquet(f"{path}/sent")
+    _run(outbox.stream_crawl(_page_stream(spark, folder), box, sender, f"{path}/checkpoint"))
+    sent = outbox.first_deliveries(spark.read.schema("id string, value string").parquet(f"{path}/sent"))
+    return sent.join(box.retrievals().select("id", "retrieval_url", "retrieval_hashcode"), "id")
