@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read, saved
-from .encoding import encoder
+from .encoding import encoder, row_runs
 
 LENGTH = 1024
-#: Partition totals (16 bytes each) that are broadcast; with more, they are joined.
-BROADCAST_ROWS = 1 << 20
 
 
 def encode_in_place(docs: DataFrame, path: str, style: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -35,9 +33,9 @@ def encode_in_place(docs: DataFrame, path: str, style: str, end_id: int, id_col:
         words, number, before = encoder(path, style), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [np.concatenate([i, end]) for i in words.encode(part.column("text").to_pylist())]
+            for at, n in row_runs(batch.column("text")):
+                part = batch.slice(at, n)
+                ids = [np.concatenate([i, end]) for i in words.encode(part.column("text"))]
                 sizes = np.array([len(i) for i in ids], np.int64)
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
@@ -77,8 +75,7 @@ def pack(docs: DataFrame, path: str, style: str = "spaced", end_id: int = 0, len
                  pa.array(pieces, pa.binary()), pa.array(sizes[doc]), pa.array(sequence), pa.array(begin % length)],
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    small = bases.count() <= BROADCAST_ROWS
-    placed = encoded.join(F.broadcast(bases) if small else bases, "partition").select(
+    placed = encoded.join(bases, "partition").select(  # one row a partition: adaptive execution checks its size
         (F.col("base") + F.col("before")).alias("at"), "doc_id", "doc_tokens", "ids")
     return placed.mapInArrow(cut, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, "
                                    "sequence_id bigint, offset bigint")

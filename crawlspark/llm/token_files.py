@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_run_dir
 from .common import arrow, open_folder, read, saved
-from .encoding import encoder
+from .encoding import encoder, row_runs
 
 #: Ids of a block; ids after which a file is closed.
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 26
@@ -159,9 +159,8 @@ def write_tokens(docs: DataFrame, path: str, style: str, end_id: int, id_col: st
 
         for batch in batches:
             keys = batch.column("id").to_pylist()
-            for at in range(0, len(keys), 256):
-                texts = batch.column("text").slice(at, 256).to_pylist()
-                for key, ids in zip(keys[at:at + 256], words.encode(texts)):
+            for at, n in row_runs(batch.column("text")):
+                for key, ids in zip(keys[at:at + n], words.encode(batch.column("text").slice(at, n))):
                     if writer is None:
                         name = f"{number:06d}-{count:04d}-{uuid.uuid4().hex}.idp"
                         writer = Writer(files.open_output_stream(f"{place}/{name}"), bits)
