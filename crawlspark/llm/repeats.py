@@ -240,11 +240,13 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     known = saved(common.join(sizes, ["anchor", "run"]).select(
         "k1", "k2", "first", "last", "place", "anchor", "run", "mixed", (F.col("n") == 1).alias("single"),
         (mark == F.col("mark")).alias("one")), "known")
+    # rows that repeat share their keys: one set of runs and pieces stands for them all
     whole = known.filter(~F.col("single")).select("k1", "k2", F.col("first").alias("start"),
-                                                  (F.col("last") + length).alias("stop"))
-    part = known.filter("mixed AND one").join(docs, ["k1", "k2"]).select(
-        "k1", "k2", "first", "place", "anchor", "run", "single",
-        F.substring("data", F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + length).cast("int")).alias("piece"))
+                                                  (F.col("last") + length).alias("stop")).distinct()
+    piece = F.substring("data", F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + length).cast("int"))
+    part = known.filter("mixed AND one").drop("mixed", "one").distinct().join(docs, ["k1", "k2"]).select(
+        "k1", "k2", "first", "place", "anchor", "run", "single", piece.alias("piece")).dropDuplicates(
+        ["k1", "k2", "first"])
     found = compared(part, length)
     # what strings of a group have in common has to occur twice before they are looked at one by one
     groups = _twice(found.filter("core IS NOT NULL").select("k1", "k2", "anchor", "core", "parts"), "core")
