@@ -32,6 +32,7 @@ MESSAGE_SCHEMA_VERSION = "1"
 MAX_RETRIES = 3
 RETRY_BASE_MS = 1000
 ROBOTS_BACKOFF_MS = [250, 500, 1000]
+ROBOTS_INDETERMINATE = "indeterminate"
 ROBOTS_INDETERMINATE_REASON = "TLS handshake timeout"
 
 # Job defaults.

@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions import content, times, urls
 from . import slices
 
 
+def with_text(rows: DataFrame) -> DataFrame:
+    """Fetch rows with their bodies as text; bytes that aren't UTF-8 become the replacement character.
+    Sizes and hashes are to be taken of the bytes."""
+    return rows.withColumn("body", F.make_valid_utf8(F.col("body").cast("string")))
+
+
+def robots_warnings(rows: DataFrame) -> DataFrame:
+    """Responses whose robots.txt could not be read for certain; they were fetched as if it allowed all."""
+    return rows.where(F.col("robots_status") == C.ROBOTS_INDETERMINATE).select(
+        "fetch_id", "job_id", "url", F.coalesce("robots_reason", F.lit("")).alias("reason"))
+
+
 def final_responses(
     probes: DataFrame, headless: DataFrame, *, threshold: int = C.PROMOTION_THRESHOLD,
     detector: Callable[[Column, Column], Column] | None = None,
@@ -23,9 +36,12 @@ def final_responses(
     without one keeps its probe. Pages that are not promoted, by far the most,
     stay out of the join, so their bodies are never shuffled.
     """
+    body = F.col("body")
+    if isinstance(probes.schema["body"].dataType, T.BinaryType):
+        body = F.make_valid_utf8(body.cast("string"))
     promote = (
-        detector(F.col("status_code"), F.col("body")) if detector
-        else content.should_promote(F.col("status_code"), F.col("body"), threshold))
+        detector(F.col("status_code"), body) if detector
+        else content.should_promote(F.col("status_code"), body, threshold))
     if allowed is not None:
         promote = promote & F.coalesce(allowed, F.lit(True))
     promote = F.coalesce(promote, F.lit(False))  # no answer: the probe stays

@@ -73,7 +73,7 @@ SELECT job_id, stage, coalesce(site, '') AS site, coalesce(url, '') AS url, byte
 
 # --- expressions -----------------------------------------------------------
 
-oracle("normalize_url", "url_parts", r"""
+_NORMALIZED = r"""
 SELECT page_id, CASE WHEN host = '' THEN replace(raw_url, ' ', '%20') ELSE
   lower(regexp_extract(raw_url, '^[A-Za-z]+://', 0)) ||
   CASE WHEN lower(raw_url) LIKE 'https:%' THEN regexp_replace(lower(host), ':443$', '')
@@ -81,7 +81,8 @@ SELECT page_id, CASE WHEN host = '' THEN replace(raw_url, ' ', '%20') ELSE
   CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_transform(
     list_sort(list_transform(string_split(query, '&'), lambda p: {'k': split_part(p, '=', 1), 'p': p})),
     lambda s: s.p), '&') END END AS url
-FROM url_parts""")
+FROM url_parts"""
+oracle("normalize_url", "url_parts", _NORMALIZED)
 oracle("extract_host", "url_parts", "SELECT page_id, CASE host WHEN '' THEN 'unknown' ELSE host END AS host FROM url_parts")
 oracle("sanitize_host", "url_parts", """
 SELECT page_id, CASE host WHEN '' THEN 'unknown' ELSE replace(lower(host), ':', '_') END AS host FROM url_parts""")
@@ -212,6 +213,39 @@ oracle("job_result", "updates fetches", """
 SELECT s.job_id, status, error_text, fetch_id, url, status_code
 FROM (SELECT job_id, arg_max(status, seq) AS status, arg_max(error_text, seq) AS error_text FROM updates WHERE status <> 'canceled' GROUP BY job_id) s
 LEFT JOIN fetches f ON f.job_id = s.job_id""")
+_TASKS = r"""(SELECT p.page_id, s.job_id, s.submitted_at, s.headless_allowed AS job_renders, p.raw_url,
+    row_number() OVER (PARTITION BY p.job_no ORDER BY p.page_id) - 1 AS pos,
+    CASE WHEN p.host_name = '' THEN true ELSE length(p.host_name) % 3 <> 0 OR p.path = '/p' OR p.path LIKE '/p/%' END AS fetch_allowed,
+    p.host_name = '' OR length(p.host_name) % 2 = 0 AS policy_renders
+  FROM url_parts p JOIN submissions s ON s.job_no = p.job_no) t"""
+oracle("crawl_outcomes", "url_parts submissions", f"""
+SELECT t.job_id, t.pos, n.url, CASE WHEN NOT fetch_allowed THEN 'blocked' WHEN t.page_id % 13 = 5 THEN 'failed' ELSE 'success' END AS outcome
+FROM {_TASKS} JOIN ({_NORMALIZED}) n ON n.page_id = t.page_id""")
+oracle("crawl_results", "judged_fetches url_parts submissions", rf"""
+SELECT concat(substr(ms, 1, 8), '-', substr(ms, 9, 4), '-7', substr(h, 1, 3), '-',
+    translate(substr(h, 4, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 5, 3), '-', substr(h, 8, 12)) AS id,
+  job_id, submitted_at AS job_started_at, date_trunc('hour', fetched_at) AS partition_ts, fetched_at AS retrieval_timestamp,
+  url AS retrieval_url, sha256(body) AS retrieval_hashcode,
+  concat('memory://crawl/', strftime(fetched_at, '%Y%m/%d/%H'), '/host=', regexp_extract(url, '^https?://([^/?#]*)', 1), '/id=',
+    substr(ms, 1, 8), '-', substr(ms, 9, 4), '-7', substr(h, 1, 3), '-',
+    translate(substr(h, 4, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 5, 3), '-', substr(h, 8, 12), '/raw.html') AS retrieval_blob_location,
+  CASE WHEN content_type IS NULL THEN '{{}}' ELSE CAST(json_object('Content-Type', json_array(content_type)) AS VARCHAR) END AS retrieval_headers,
+  status_code AS retrieval_status_code, coalesce(content_type, 'text/html; charset=utf-8') AS retrieval_content_type
+FROM (SELECT t.job_id, t.submitted_at, f.fetched_at, f.content_type, f.status_code,
+    format('{{:012x}}', epoch_us(f.fetched_at) // 1000) AS ms, sha256(concat(t.job_id, ':', f.fetch_id)) AS h,
+    CASE WHEN f.promote AND f.fetch_id % 4 <> 0 AND coalesce(t.job_renders, false) AND t.policy_renders THEN f.url || '/headless' ELSE f.url END AS url,
+    CASE WHEN f.promote AND f.fetch_id % 4 <> 0 AND coalesce(t.job_renders, false) AND t.policy_renders THEN '<html>rendered</html>' ELSE f.body END AS body
+  FROM {_TASKS} JOIN judged_fetches f ON f.fetch_id = t.page_id WHERE t.fetch_allowed AND t.page_id % 13 <> 5) r""")
+oracle("scan_fetch_rows", "fetches", r"""
+SELECT fetch_id, url, CAST(strlen(body) + CASE WHEN fetch_id % 9 = 2 THEN 2 ELSE 0 END AS BIGINT) AS size,
+  sha256(CASE WHEN fetch_id % 9 = 2 THEN '\xFF\xFE'::BLOB || encode(body) ELSE encode(body) END) AS content_hash,
+  CASE WHEN fetch_id % 5 = 0 THEN CAST(strlen(url) + 3 AS BIGINT) END AS screenshot_size,
+  CASE WHEN fetch_id % 8 = 3 THEN 'indeterminate' ELSE '' END AS robots_status,
+  CASE WHEN fetch_id % 8 = 3 THEN 'TLS handshake timeout' END AS robots_reason,
+  sha256(CASE WHEN fetch_id % 9 = 2 THEN chr(65533) || chr(65533) || body ELSE body END) AS text_hash
+FROM fetches""")
+oracle("robots_warnings", "fetches", """
+SELECT fetch_id, job_id, url, 'TLS handshake timeout' AS reason FROM fetches WHERE fetch_id % 8 = 3""")
 oracle("hash_dedup", "fetches", """
 SELECT sha256(body) AS content_hash, arg_min(fetch_id, (fetched_at, fetch_id)) AS fetch_id, count(*) AS copies FROM fetches GROUP BY body""")
 

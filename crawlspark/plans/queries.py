@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import content, status, times, urls
-from ..operators import frontier, jobs, metrics, pages, progress, ratelimit, rules, runs, timeline
+from ..operators import crawl, frontier, jobs, metrics, pages, progress, ratelimit, rules, runs, timeline
 from ..session import new_run_dir
 from ..sources import derived, schemas, tables
 from ..stored import buckets, clustered
@@ -374,6 +374,43 @@ def final_responses(spark, folder):
         content.content_hash(F.col("body")).alias("content_hash"))
 
 
+def _crawl(spark, folder):
+    return crawl.crawl_results(
+        derived.submissions(spark, folder), derived.answers(spark, folder),
+        derived.headless_fetches(spark, folder), derived.policy(spark, folder))
+
+
+@query
+def crawl_results(spark, folder):
+    """Retrieval rows from submissions on: tasks, policy, probes, promotion by job and policy, storage."""
+    return pages.retrievals(_crawl(spark, folder)[0]).drop("parent_id", "parent_ts")
+
+
+@query
+def crawl_outcomes(spark, folder):
+    return _crawl(spark, folder)[1]
+
+
+@query
+def scan_fetch_rows(spark, folder):
+    """All columns of stored fetch responses: hash and size of the bytes, promotion by the text."""
+    path = new_run_dir(spark, "fetch-rows")
+    derived.fetch_rows_from(tables.pages(spark, folder)).write.parquet(path)
+    rows = tables.fetch_rows(spark, path)
+    text = pages.with_text(rows.select("fetch_id", "body")).select(
+        "fetch_id", F.sha2(F.col("body").cast("binary"), 256).alias("text_hash"))
+    return rows.select(
+        "fetch_id", "url", content.body_size(F.col("body")).alias("size"),
+        content.content_hash(F.col("body")).alias("content_hash"),
+        F.octet_length("screenshot").cast("bigint").alias("screenshot_size"), "robots_status", "robots_reason").join(
+        text, "fetch_id")
+
+
+@query
+def robots_warnings(spark, folder):
+    return pages.robots_warnings(derived.fetch_rows_from(tables.pages(spark, folder)))
+
+
 @query
 def ensure_job_runs(spark, folder):
     started = derived.fetches(spark, folder)

@@ -170,6 +170,41 @@ def fetches(spark: SparkSession, folder: str) -> DataFrame:
     return fetches_from(tables.pages(spark, folder))
 
 
+def fetch_rows_from(pages: DataFrame) -> DataFrame:
+    """Those responses as fetchers store them: bodies in bytes, some of which aren't UTF-8, screenshots, robots.txt."""
+    number = F.col("fetch_id")
+    return fetches_from(pages).withColumns({
+        "body": F.when(number % 9 == 2, F.concat(F.to_binary(F.lit("fffe"), F.lit("hex")), F.encode("body", "UTF-8")))
+        .otherwise(F.encode("body", "UTF-8")),
+        "screenshot": F.when(number % 5 == 0, F.encode(F.concat(F.lit("PNG"), F.col("url")), "UTF-8")),
+        "robots_status": F.when(number % 8 == 3, "indeterminate").otherwise(""),
+        "robots_reason": F.when(number % 8 == 3, "TLS handshake timeout"),
+    })
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Probe answers to the tasks of `submissions`: those of every page but each thirteenth, by job and place there."""
+    from ..operators import slices
+
+    placed = slices.row_numbers(url_variants(spark, folder).select("page_id", "job_no"), ["job_no"], ["page_id"], "pos")
+    task = placed.where(F.col("page_id") % 13 != 5).select(
+        F.col("page_id").alias("fetch_id"), job_id_of(F.col("job_no")).alias("job_id"), (F.col("pos") - 1).alias("pos"))
+    return fetches(spark, folder).drop("job_id").join(task, "fetch_id")
+
+
+def policy(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule for every site, and for one path of it."""
+    site = F.regexp_extract("url", HOST, 1)
+    sites = tables.pages(spark, folder).select(site.alias("host")).distinct()
+    size = F.length("host")
+    none = F.lit(None).cast("bigint")
+    whole = sites.select(
+        F.lit(None).cast("string").alias("job_id"), "host", F.lit("").alias("path"), none.alias("min_depth"),
+        none.alias("max_depth"), F.lit(0).alias("priority"), (size % 3 != 0).alias("allow_fetch"),
+        (size % 2 == 0).alias("allow_headless"))
+    return whole.unionByName(whole.withColumns({"path": F.lit("/p"), "allow_fetch": F.lit(True)}))
+
+
 def headless_fetches(spark: SparkSession, folder: str) -> DataFrame:
     """Headless answers for promoted pages; every fourth page failed and has none."""
     probes = fetches(spark, folder)

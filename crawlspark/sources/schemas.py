@@ -44,6 +44,14 @@ FETCH_RESPONSE = T.StructType([
     T.StructField("used_headless", T.BooleanType()),
 ])
 
+#: A response as fetchers store it: the body as bytes, the screenshot, and what became of robots.txt.
+FETCH_ROW = T.StructType([
+    *[T.StructField("body", T.BinaryType()) if f.name == "body" else f for f in FETCH_RESPONSE.fields],
+    T.StructField("screenshot", T.BinaryType()),
+    T.StructField("robots_status", T.StringType()),
+    T.StructField("robots_reason", T.StringType()),
+])
+
 RETRIEVAL = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("job_id", T.StringType()),

@@ -20,6 +20,12 @@ def fetches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FETCH_RESPONSE).parquet(path)
 
 
+def fetch_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Stored fetch responses with all their columns, bodies as bytes. Jobs that only need hashes and sizes
+    read them as they are; `pages.with_text` decodes them."""
+    return spark.read.schema(schemas.FETCH_ROW).parquet(path)
+
+
 def progress_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROGRESS_EVENT).parquet(path)
 
