@@ -404,7 +404,7 @@ ORDER BY last_update DESC, site LIMIT 200 OFFSET 1""")
 for _stream, _batch in (("stream_site_stats", "site_stats"), ("stream_job_runs", "job_runs"),
                         ("stream_running_jobs", "running_jobs")):
     ORACLES[_stream] = ORACLES[_batch]
-ORACLES["stream_pages_rate"] = ORACLES["pages_rate"]
+ORACLES["stream_pages_rate"] = ORACLES["stream_closing_rates"] = ORACLES["pages_rate"]
 
 _ID = """concat(substr(ms, 1, 8), '-', substr(ms, 9, 4), '-7', substr(h, 1, 3), '-',
   translate(substr(h, 4, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 5, 3), '-', substr(h, 8, 12))"""

@@ -18,6 +18,7 @@ from ..stored.history import History
 from ..streaming import outbox
 from ..streaming import pages as page_stream
 from ..streaming import progress as progress_stream
+from ..streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -796,6 +797,16 @@ def stream_pages_rate(spark, folder):
     return progress_stream.read_pages_rate(spark, f"{path}/out")
 
 
+@query
+def stream_closing_rates(spark, folder):
+    """Rates whose windows close as the stream goes on, with what came late and what is still open."""
+    path = new_run_dir(spark, "closing-rates")
+    rates = windows.ClosingRates(spark, f"{path}/out", fan=3)
+    _run(progress_stream.run_batches(
+        derived.observations_from(_event_stream(spark, folder)), {"rates": rates.sink()}, f"{path}/checkpoint"))
+    return rates.all()
+
+
 def _page_stream(spark, folder):
     return derived.fetches_from(_files(spark, folder, "pages", schemas.PAGES, "page_id"))
 
