@@ -9,8 +9,8 @@ backslash, which makes control strings harmless and can be undone exactly; in a
 role, backslashes and newlines are escaped before that.
 
 Defined results: null texts and roles count as empty; rows of a conversation are
-ordered by turn (nulls first), then role, then text; repeated rows are turns of
-their own; rows without a conversation id form one conversation; extra columns
+ordered by turn (nulls first), then role, then text (its first 256 characters, then
+a hash); repeated rows are turns of their own; rows without a conversation id form one conversation; extra columns
 are ignored; an empty table gives no rows. A conversation is written in parts of
 bounded size, so that none has to fit in memory.
 """
@@ -32,11 +32,12 @@ from .encoding import encoder
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens after which a part of a conversation is written.
 PART_TOKENS = 1 << 18
+#: Characters of a text by which rows of one turn and role are ordered, before a hash of the text.
+TIE_CHARS = 256
 
-_TURNS = "conv_id bigint, turn bigint, role string, text string, ids binary, loss_start bigint, loss_end bigint"
 _READ = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
          "formatted_chars bigint")
-_PARTS = "conv_id bigint, part int, ids binary, loss binary"
+_PARTS = "conv_id bigint, part bigint, ids binary, loss binary"
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -56,35 +57,29 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def encode_turns(turns: DataFrame, path: str, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """The ids of every turn, and where the loss mask begins and ends in them."""
-    def run(batches):
-        words = encoder(path, "spaced")
-        start = words.tokenizer.get_vocab_size()
-        for batch in batches:
-            roles = batch.column("role").to_pylist()
-            heads = words.encode([escape_role(r or "") + "\n" for r in roles])
-            texts = words.encode([escape(t or "") for t in batch.column("text").to_pylist()])
-            newline = words.encode(["\n"])[0]
-            ids = [np.concatenate([[start], h, t, [start + 1], newline]).astype(np.uint32)
-                   for h, t in zip(heads, texts)]
-            assistant = np.array([r == "assistant" for r in roles], bool)
-            begin = np.array([1 + len(h) for h in heads], np.int64)
-            size = np.array([len(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(begin),
-                 pa.array(begin + np.where(assistant, size, 0))], [f.split()[0] for f in _TURNS.split(",")])
-
-    return turns.select(
-        F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"),
-        F.col(role_col).alias("role"), F.col(text_col).alias("text")).mapInArrow(run, _TURNS)
+def encode_turns(words, batch) -> list[tuple[np.ndarray, int, int]]:
+    """The ids of every turn of a batch, and where the loss mask begins and ends in them."""
+    start = words.tokenizer.get_vocab_size()
+    roles = batch.column("role").to_pylist()
+    heads = words.encode([escape_role(r or "") + "\n" for r in roles])
+    texts = words.encode([escape(t or "") for t in batch.column("text").to_pylist()])
+    newline = words.encode(["\n"])[0]
+    return [(np.concatenate([[start], head, text, [start + 1], newline]).astype(np.uint32), 1 + len(head),
+             1 + len(head) + len(text) * (role == "assistant")) for role, head, text in zip(roles, heads, texts)]
 
 
 def format_chats(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn",
                  role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Training examples in the shared folder: `conv_id`, `part`, `ids` (unsigned 32-bit), `loss` (a byte each)."""
+    """Training examples in the shared folder: `conv_id`, `part`, `ids` (unsigned 32-bit), `loss` (a byte each).
+
+    Turns are spread over ranges of conversation and place, so many tasks write the
+    parts of a large conversation; a part's number is that of its range, then its own.
+    """
     def assemble(batches):
-        conv, part, ids, deltas, size = _NONE, 0, [], [], 0
+        from pyspark import TaskContext
+
+        words, first = encoder(path, "spaced"), TaskContext.get().partitionId() << 32
+        conv, part, ids, deltas, size = _NONE, first, [], [], 0
 
         def row():
             steps = np.zeros(size + 1, np.int64)
@@ -94,26 +89,31 @@ def format_chats(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_co
             return {"conv_id": conv, "part": part, "ids": b"".join(ids), "loss": mask.tobytes()}
 
         for batch in batches:
-            rows = []
-            for turn in batch.to_pylist():
-                key = turn["conv_id"]
-                if ids and (key != conv or size >= PART_TOKENS):
-                    rows.append(row())
-                    part, ids, deltas, size = part + 1, [], [], 0
-                if key != conv:
-                    conv, part = key, 0
-                deltas += [(size + turn["loss_start"], 1), (size + turn["loss_end"], -1)]
-                ids.append(turn["ids"])
-                size += len(turn["ids"]) // 4
-            if rows:
-                yield arrow(rows, _PARTS)
+            for at in range(0, batch.num_rows, 1024):
+                rows, some = [], batch.slice(at, 1024)
+                for key, (own, begin, end) in zip(some.column("conv_id").to_pylist(), encode_turns(words, some)):
+                    if ids and (key != conv or size >= PART_TOKENS):
+                        rows.append(row())
+                        part, ids, deltas, size = part + 1, [], [], 0
+                    if key != conv:
+                        conv, part = key, first
+                    deltas += [(size + begin, 1), (size + end, -1)]
+                    ids.append(own.tobytes())
+                    size += len(own)
+                if rows:
+                    yield arrow(rows, _PARTS)
         if ids:
             yield arrow([row()], _PARTS)
 
-    encoded = encode_turns(turns, path, conv_col, turn_col, role_col, text_col)
-    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    slim = ordered.select("conv_id", "ids", "loss_start", "loss_end")
-    return saved(slim.mapInArrow(assemble, _PARTS), "chats")
+    order = ["conv_id", "turn", "role", "begins", "hash"]
+    rows = turns.select(
+        F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"),
+        F.col(role_col).alias("role"), F.col(text_col).alias("text"),
+        F.substring(F.col(text_col), 1, TIE_CHARS).alias("begins"), F.xxhash64(F.col(text_col)).alias("hash"))
+    # rows alike in all of these may lie on both sides of an edge, in any order
+    spread = rows.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(*order, "copy")
+    ordered = spread.sortWithinPartitions(*order, "copy").select("conv_id", "role", "text")
+    return saved(ordered.mapInArrow(assemble, _PARTS), "chats")
 
 
 _NONE = object()

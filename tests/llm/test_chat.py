@@ -61,3 +61,21 @@ def test_mask_marks_assistant_texts_alone(spark):
 
     assert Tokenizer.from_file(PATH).decode(ids[loss == 1].tolist()) == "c d e"
     assert chat.read_chats(chat.format_chats(table.filter("false"), PATH), PATH).count() == 0
+
+
+def test_large_conversation_is_written_by_many_tasks(spark):
+    """A third of all rows in one conversation: no task has it whole, and it reads back in order."""
+    big = [(7, i, "assistant" if i % 2 else "user", f"turn {i} " + "word " * 20) for i in range(4000)]
+    others = [(100 + i // 4, i % 4, "user" if i % 2 == 0 else "assistant", f"small {i}") for i in range(8000)]
+    table = spark.createDataFrame(big + others, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = chat.format_chats(table, PATH)
+        row = next(r for r in chat.read_chats(parts, PATH).collect() if r["conv_id"] == 7)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = parts.where("conv_id = 7").selectExpr("shiftright(part, 32) AS task", "octet_length(ids) AS size").groupBy(
+        "task").sum("size").collect()
+    assert len(tasks) >= 2 and max(r[1] for r in tasks) < 0.9 * sum(r[1] for r in tasks)
+    whole = "".join(f"{r}\n{t}\n" for _, _, r, t in big)
+    assert (row["n_turns"], row["turns_sha256"]) == (4000, hashlib.sha256(whole.encode()).hexdigest())
