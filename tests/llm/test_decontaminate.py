@@ -38,6 +38,12 @@ def check(docs, benchmark, window):
                     [(None if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in benchmark.collect()], window)
     rows = [(r["doc_id"] or -1, r["n_words"], r["n_hit"], sorted({str(m["item_id"]) for m in r["matches"]})) for r in got]
     assert sorted(rows) == sorted((i or -1, n, h, sorted(map(str, f))) for i, n, h, f in want)
+    for block in (None, 200):  # in one block, and in many
+        hits = d.find_hits(docs, benchmark, window, block_bytes=block).collect()
+        rows = [(r["doc_id"] or -1, r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]),
+                 sorted(map(str, r["items"]))) for r in hits]
+        assert sorted(rows) == sorted((i or -1, n, h, sorted(map(str, f))) for i, n, h, f in want)
+        assert all(len(set(r["items"])) == len(r["items"]) for r in hits)
     return got
 
 
@@ -76,3 +82,31 @@ def test_edges(spark, edge_docs, no_docs):
         r["doc_id"] or -1 for r in edge_docs.collect() if not (r["text"] or "").startswith("one two"))
     assert d.find_matches(no_docs, items).count() == 0
     assert d.decontaminate(edge_docs, items.filter("false")).count() == edge_docs.count()
+
+
+def test_common_windows_take_no_product(spark):
+    """1,000 items of one common word, in a text of thousands of it: one span, each item once."""
+    items = spark.createDataFrame([(i, "spam " * 12) for i in range(1000)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "spam " * 5000), (2, "ham " * 50)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in d.find_hits(docs, items).collect()}
+    assert [tuple(s) for s in got[1]["spans"]] == [(0, 5000)] and sorted(map(int, got[1]["items"])) == list(range(1000))
+    assert not got[2]["spans"] and not got[2]["items"]
+    import numpy as np
+
+    words = np.full(5000, 7, np.uint64)
+    rows = [{"word": 0, "hashes": np.full(12, 7, np.uint64).tobytes()} for _ in range(1000)]
+    tests = d.distinct_windows(d.test_windows(rows, 10))
+    assert len(tests[0][2]) == 1
+    assert sum(len(p) for p, _ in d.hits_of(words, tests)) == 4991  # a row for a place, whatever the number of items
+
+
+def test_shards_overlap(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 4, 3000).astype(np.uint64)
+    rows = [{"word": 0, "hashes": words[i:i + 9].tobytes()} for i in range(0, 2900, 50)]
+    tests = d.distinct_windows(d.test_windows(rows, 6))
+    whole = [sorted(zip(*map(np.ndarray.tolist, f))) for f in d.hits_of(words, tests)]
+    monkeypatch.setattr(d, "SHARD_WORDS", 64)
+    assert [sorted(zip(*map(np.ndarray.tolist, f))) for f in d.hits_of(words, tests)] == whole and whole[0]
