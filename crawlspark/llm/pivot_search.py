@@ -28,8 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import read, saved
 
-#: Pivots, rings of a pivot, vectors the pivots are fitted on, rows of a block, queries of a block.
+#: Pivots of `BASE_VECTORS` vectors, rings of a pivot, vectors the pivots are fitted on, rows of a block, queries of a block.
 PIVOTS, RINGS, SAMPLE, BLOCK, QUERIES = 16, 4, 4096, 1024, 256
+#: With more vectors, pivots grow with their cube root up to a bound, and the sample with the pivots.
+BASE_VECTORS, MOST_PIVOTS, SAMPLE_OF_PIVOT = 50_000, 256, 32
+
+
+def pivot_count(n_vectors: int) -> int:
+    """More vectors lie in more annuli, so that each is met by fewer queries and work spreads over more tasks."""
+    return min(MOST_PIVOTS, round(PIVOTS * max(1.0, n_vectors / BASE_VECTORS) ** (1 / 3)))
 
 _BLOCK = ("pivot int, ring int, ids binary, vectors binary, distances binary")
 _QUERY = "pivot int, ring int, query_ids binary, query_vectors binary, floors binary"
@@ -58,13 +65,13 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 class Space:
-    """Dimension, largest norm, pivots and ring edges: what every task has to know. Its size is fixed."""
+    """Dimension, largest norm, pivots and ring edges: what every task has to know. Its size is bounded."""
 
-    def __init__(self, dim: int, top: float, sample: np.ndarray):
+    def __init__(self, dim: int, top: float, sample: np.ndarray, n_pivots: int = PIVOTS):
         self.dim, self.top = dim, top
         points = self.lift(sample)
         rng = np.random.default_rng(7)
-        pivots = points[rng.choice(len(points), min(PIVOTS, len(points)), replace=False)]
+        pivots = points[rng.choice(len(points), min(n_pivots, len(points)), replace=False)]
         for _ in range(8):
             nearest = self._distances(points, pivots).argmin(1)
             pivots = np.stack([points[nearest == i].mean(0) if (nearest == i).any() else pivots[i]
@@ -115,16 +122,17 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit_space(vectors: DataFrame) -> Space | None:
-    """Pivots from a bounded sample: the `SAMPLE` vectors first by a hash of their ids."""
+    """Pivots from a bounded sample: the vectors first by a hash of their ids, 32 a pivot and `SAMPLE` at least."""
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    dim, top = vectors.agg(F.max(F.size("vector")), F.max(square)).first()
+    dim, top, n_vectors = vectors.agg(F.max(F.size("vector")), F.max(square), F.count("*")).first()
     if dim is None:
         return None
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    n_pivots = pivot_count(n_vectors)
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, SAMPLE_OF_PIVOT * n_pivots)).collect()
     sample = np.zeros((len(rows), dim), np.int64)
     for i, row in enumerate(rows):
         sample[i, :len(row["vector"])] = row["vector"]
-    return Space(dim, float(np.sqrt(top)), sample)
+    return Space(dim, float(np.sqrt(top)), sample, n_pivots)
 
 
 def build_index(vectors: DataFrame, space: Space) -> DataFrame:

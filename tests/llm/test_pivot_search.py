@@ -47,3 +47,21 @@ def test_few_and_none(spark):
     check(table, 20, 20)
     check(table.limit(1), 20, 20)
     assert pivot_search.top_k(table.filter("false")).count() == 0
+
+
+def test_more_vectors_more_keys(spark, monkeypatch):
+    """64 times the vectors make four times the pivots, and results stay exact."""
+    assert pivot_search.pivot_count(0) == pivot_search.pivot_count(50_000) == 16
+    assert pivot_search.pivot_count(64 * 50_000) == 64
+    assert pivot_search.pivot_count(10 ** 15) == pivot_search.MOST_PIVOTS
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(960)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    monkeypatch.setattr(pivot_search, "BASE_VECTORS", 15)
+    keys = []
+    for part in (table.where("vec_id < 15"), table):
+        vectors = pivot_search.integer_vectors(part, "vec_id", "embedding", 64)
+        index = pivot_search.build_index(vectors, pivot_search.fit_space(vectors))
+        keys.append(index.select("pivot", "ring").distinct().count())
+    assert keys[1] > 8 * keys[0] and keys[1] > 150
+    check(table, 20, 20)
