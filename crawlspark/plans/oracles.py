@@ -73,16 +73,14 @@ SELECT job_id, stage, coalesce(site, '') AS site, coalesce(url, '') AS url, byte
 
 # --- expressions -----------------------------------------------------------
 
-_NORMALIZED = r"""
-SELECT page_id, CASE WHEN host = '' THEN replace(raw_url, ' ', '%20') ELSE
+_NORMAL_URL = r"""CASE WHEN host = '' THEN replace(raw_url, ' ', '%20') ELSE
   lower(regexp_extract(raw_url, '^[A-Za-z]+://', 0)) ||
   CASE WHEN lower(raw_url) LIKE 'https:%' THEN regexp_replace(lower(host), ':443$', '')
     ELSE regexp_replace(lower(host), ':80$', '') END || path ||
   CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_transform(
     list_sort(list_transform(string_split(query, '&'), lambda p: {'k': split_part(p, '=', 1), 'p': p})),
-    lambda s: s.p), '&') END END AS url
-FROM url_parts"""
-oracle("normalize_url", "url_parts", _NORMALIZED)
+    lambda s: s.p), '&') END END"""
+oracle("normalize_url", "url_parts", f"SELECT page_id, {_NORMAL_URL} AS url FROM url_parts")
 oracle("extract_host", "url_parts", "SELECT page_id, CASE host WHEN '' THEN 'unknown' ELSE host END AS host FROM url_parts")
 oracle("sanitize_host", "url_parts", """
 SELECT page_id, CASE host WHEN '' THEN 'unknown' ELSE replace(lower(host), ':', '_') END AS host FROM url_parts""")
@@ -213,14 +211,14 @@ oracle("job_result", "updates fetches", """
 SELECT s.job_id, status, error_text, fetch_id, url, status_code
 FROM (SELECT job_id, arg_max(status, seq) AS status, arg_max(error_text, seq) AS error_text FROM updates WHERE status <> 'canceled' GROUP BY job_id) s
 LEFT JOIN fetches f ON f.job_id = s.job_id""")
-_TASKS = r"""(SELECT p.page_id, s.job_id, s.submitted_at, s.headless_allowed AS job_renders, p.raw_url,
+_TASKS = rf"""(SELECT {_NORMAL_URL} AS url, p.page_id, s.job_id, s.submitted_at, s.headless_allowed AS job_renders, p.raw_url,
     row_number() OVER (PARTITION BY p.job_no ORDER BY p.page_id) - 1 AS pos,
     CASE WHEN p.host_name = '' THEN true ELSE length(p.host_name) % 3 <> 0 OR p.path = '/p' OR p.path LIKE '/p/%' END AS fetch_allowed,
     p.host_name = '' OR length(p.host_name) % 2 = 0 AS policy_renders
   FROM url_parts p JOIN submissions s ON s.job_no = p.job_no) t"""
 oracle("crawl_outcomes", "url_parts submissions", f"""
-SELECT t.job_id, t.pos, n.url, CASE WHEN NOT fetch_allowed THEN 'blocked' WHEN t.page_id % 13 = 5 THEN 'failed' ELSE 'success' END AS outcome
-FROM {_TASKS} JOIN ({_NORMALIZED}) n ON n.page_id = t.page_id""")
+SELECT job_id, pos, url, CASE WHEN NOT fetch_allowed THEN 'blocked' WHEN page_id % 13 = 5 THEN 'failed' ELSE 'success' END AS outcome
+FROM {_TASKS}""")
 oracle("crawl_results", "judged_fetches url_parts submissions", rf"""
 SELECT concat(substr(ms, 1, 8), '-', substr(ms, 9, 4), '-7', substr(h, 1, 3), '-',
     translate(substr(h, 4, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 5, 3), '-', substr(h, 8, 12)) AS id,
