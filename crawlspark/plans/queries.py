@@ -801,7 +801,7 @@ def stream_pages_rate(spark, folder):
 def stream_closing_rates(spark, folder):
     """Rates whose windows close as the stream goes on, with what came late and what is still open."""
     path = new_run_dir(spark, "closing-rates")
-    rates = windows.ClosingRates(spark, f"{path}/out", fan=3)
+    rates = windows.ClosingRates(spark, f"{path}/out")
     _run(progress_stream.run_batches(
         derived.observations_from(_event_stream(spark, folder)), {"rates": rates.sink()}, f"{path}/checkpoint"))
     return rates.all()
@@ -830,7 +830,7 @@ def stream_notifications(spark, folder):
 def stream_outbox(spark, folder):
     """Messages that a consumer counts, each with the retrieval row that it tells of."""
     path = new_run_dir(spark, "outbox")
-    box = outbox.Outbox(spark, f"{path}/table", "crawled-pages", fan=3)
+    box = outbox.Outbox(spark, f"{path}/table", "crawled-pages")
     sender = lambda messages, stream, number: messages.write.mode("append").parquet(f"{path}/sent")
     _run(outbox.stream_crawl(_page_stream(spark, folder), box, sender, f"{path}/checkpoint"))
     sent = outbox.first_deliveries(spark.read.schema("id string, value string").parquet(f"{path}/sent"))
