@@ -116,10 +116,11 @@ def http_latency_hist(log: DataFrame) -> DataFrame:
 
 
 def rate_delay_hist(schedule: DataFrame) -> DataFrame:
-    """Waits of more than a millisecond caused by the rate limiter."""
+    """Waits of more than a millisecond caused by the rate limiter. In a long queue they grow with its length, so
+    their sum may be beyond a bigint and is taken as decimals."""
     waited = schedule.where(F.col("delay_us") > 1000)
     return histogram(waited, F.col("delay_us") / 1e6, C.RATE_DELAY_BOUNDS, ["domain"],
-                     F.sum("delay_us") / 1e6)
+                     F.sum(F.col("delay_us").cast("decimal(19,0)")).cast("double") / 1e6)
 
 
 def quantile_from_buckets(df: DataFrame, seconds: Column, bounds: list[float], by: list[str],

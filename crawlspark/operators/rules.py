@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import new_run_dir
+
 RULES = T.StructType([
     T.StructField("job_id", T.StringType()), T.StructField("host", T.StringType()),
     T.StructField("path", T.StringType()), T.StructField("min_depth", T.LongType()),
@@ -28,17 +30,28 @@ RULES = T.StructType([
     T.StructField("allow_fetch", T.BooleanType()), T.StructField("allow_headless", T.BooleanType()),
 ])
 
-_KEY = ["_job", "_host", "_path"]
-_SHAPE = ["_labels", "_segments", "_own"]
+_KEY = ["_own", "_job", "_host", "_path"]
+
+
+def _joined(text: Column, mark: str) -> Column:
+    """The non-empty parts of a text between marks, with one mark between them."""
+    single = F.when(text.contains(mark * 2), F.regexp_replace(text, f"[{mark}]+", mark)).otherwise(text)
+    return F.btrim(single, F.lit(mark))
 
 
-def _labels(host: Column) -> Column:
-    plain = F.lower(F.regexp_replace(F.coalesce(host, F.lit("")), r":[0-9]*$", ""))
-    return F.filter(F.split(plain, r"\."), lambda x: x != "")
+def _parts(joined: Column, mark: str) -> Column:
+    marks = F.length(joined) - F.length(F.replace(joined, F.lit(mark), F.lit("")))
+    return F.when(joined == "", 0).otherwise(marks + 1)
 
 
-def _segments(path: Column) -> Column:
-    return F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != "")
+def _host(host: Column) -> Column:
+    given = F.coalesce(host, F.lit(""))
+    plain = F.when(given.contains(":"), F.regexp_replace(given, r":[0-9]*$", "")).otherwise(given)
+    return _joined(F.lower(plain), ".")
+
+
+def _path(path: Column) -> Column:
+    return _joined(F.coalesce(path, F.lit("")), "/")
 
 
 def path_of(url: Column) -> Column:
@@ -47,47 +60,75 @@ def path_of(url: Column) -> Column:
 
 def _keyed(rules: DataFrame) -> DataFrame:
     """Rules by what they are found by, and what each says as one number."""
-    labels, segments = _labels(F.col("host")), _segments(F.col("path"))
-    own = F.col("job_id").isNotNull()
     limited = F.col("min_depth").isNotNull() | F.col("max_depth").isNotNull()
     refuses_fetch = ~F.coalesce("allow_fetch", F.lit(True))
     refuses_headless = ~F.coalesce("allow_headless", F.lit(True))
     packed = F.coalesce(F.col("priority"), F.lit(0)).cast("bigint")
-    for part, bits in ((F.size(labels), 10), (F.size(segments), 16), (own, 1), (limited, 1),
+    for part, bits in ((F.col("_labels"), 10), (F.col("_segments"), 16), (F.col("_own"), 1), (limited, 1),
                        (refuses_fetch, 1), (refuses_headless, 1)):
         packed = packed * (1 << bits) + part.cast("bigint")
-    return rules.select(
-        F.coalesce("job_id", F.lit("")).alias("_job"), F.array_join(labels, ".").alias("_host"),
-        F.array_join(segments, "/").alias("_path"), F.size(labels).alias("_labels"),
-        F.size(segments).alias("_segments"), own.alias("_own"), F.col("min_depth").alias("_min"),
-        F.col("max_depth").alias("_max"), packed.alias("_says"))
-
-
-def _ancestors(tasks: DataFrame, shapes: DataFrame) -> DataFrame:
-    """The ancestors of every task's URL, by job and for all jobs, of the shapes that rules have."""
-    labels, segments = F.col("_l"), F.col("_s")
-    hosts = F.transform(F.sequence(F.lit(0), F.size(labels)), lambda k: F.struct(
-        k.alias("_labels"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("_host")))
-    paths = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda k: F.struct(
-        k.alias("_segments"), F.array_join(F.slice(segments, 1, k), "/").alias("_path")))
-    parts = tasks.select("job_id", "pos", "depth", _labels(F.col("host")).alias("_l"),
-                         _segments(path_of(F.col("url"))).alias("_s"))
-    spread = parts.select("job_id", "pos", "depth", "_s", F.inline(hosts)).select(
-        "job_id", "pos", "depth", "_labels", "_host", F.inline(paths))
-    both = spread.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    return both.join(shapes, _SHAPE, "left_semi").withColumn(
-        "_job", F.when(F.col("_own"), F.col("job_id")).otherwise(""))
+    return rules.withColumns({
+        "_own": F.col("job_id").isNotNull(), "_job": F.coalesce("job_id", F.lit("")),
+        "_host": _host(F.col("host")), "_path": _path(F.col("path")),
+    }).withColumns({"_labels": _parts(F.col("_host"), "."), "_segments": _parts(F.col("_path"), "/")}).select(
+        *_KEY, "_labels", "_segments", F.col("min_depth").alias("_min"), F.col("max_depth").alias("_max"),
+        packed.alias("_says"))
+
+
+def _shapes(places: DataFrame) -> DataFrame:
+    """How many labels and segments the ancestors of these URLs have."""
+    sizes = places.select(_parts(F.col("_h"), ".").alias("l"), _parts(F.col("_p"), "/").alias("s")).distinct()
+    return sizes.select("s", F.explode(F.sequence(F.lit(0), F.col("l"))).alias("_labels")).select(
+        "_labels", F.explode(F.sequence(F.lit(0), F.col("s"))).alias("_segments")).distinct()
+
+
+def _said(rules: DataFrame, places: DataFrame) -> DataFrame:
+    """What rules of one key and one span of depths say together, for shapes met here, in a table in the shared folder."""
+    spark = rules.sparkSession
+    path = new_run_dir(spark, "rules")
+    met = _keyed(rules).join(F.broadcast(_shapes(places)), ["_labels", "_segments"], "left_semi")
+    said = met.groupBy(*_KEY, "_labels", "_segments", "_min", "_max").agg(F.max("_says").alias("_says"))
+    said.write.parquet(path)
+    return spark.read.schema(said.schema).parquet(path)
+
+
+def _ancestors(asked: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The ancestors of every URL asked for, of the shapes that rules have."""
+    spread = asked.withColumn("_labels", F.explode(F.sequence(F.lit(0), _parts(F.col("_h"), ".")))).withColumn(
+        "_segments", F.explode(F.sequence(F.lit(0), _parts(F.col("_p"), "/"))))
+    return spread.join(F.broadcast(shapes), shapes.columns, "left_semi").select(
+        *asked.columns, F.expr("substring_index(_h, '.', -_labels)").alias("_host"),
+        F.expr("substring_index(_p, '/', _segments)").alias("_path"))
 
 
 def decide(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     """Tasks (`job_id`, `pos`, `url`, `host`, `depth` and others) with `fetch_allowed` and `headless_allowed`."""
-    keyed = _keyed(rules)
+    placed = tasks.select("job_id", "pos", _host(F.col("host")).alias("_h"),
+                          _path(path_of(F.col("url"))).alias("_p"), F.col("depth").alias("_d"))
+    places = placed.select("_h", "_p", "_d").distinct()
+    said = _said(rules, places)
     # at most a few hundred rows: labels of a host by segments of a path
-    shapes = keyed.select(*_SHAPE).distinct()
-    met = _ancestors(tasks, shapes).join(keyed.drop(*_SHAPE), _KEY).where(
-        (F.col("_min").isNull() | (F.col("depth") >= F.col("_min")))
-        & (F.col("_max").isNull() | (F.col("depth") <= F.col("_max"))))
-    decided = met.groupBy("job_id", "pos").agg(F.max("_says").alias("_says"))
+    shapes = said.select("_own", "_labels", "_segments").distinct()
+    jobs = said.where("_own").select(F.col("_job").alias("job_id")).distinct()
+    own = placed.join(jobs, "job_id", "left_semi").select(
+        F.lit(True).alias("_own"), F.col("job_id").alias("_job"), *places.columns).distinct()
+    asked = places.select(F.lit(False).alias("_own"), F.lit("").alias("_job"), "*").unionByName(own)
+    met = _ancestors(asked, shapes).join(said.drop("_labels", "_segments"), _KEY).where(
+        (F.col("_min").isNull() | (F.col("_d") >= F.col("_min")))
+        & (F.col("_max").isNull() | (F.col("_d") <= F.col("_max"))))
+    best = met.groupBy(*asked.columns).agg(F.max("_says").alias("_says"))
+
+    def answers(name: str, own: bool) -> DataFrame:
+        return best.where(F.col("_own") == own).select(
+            *[F.col(c).alias(f"{c}_{name}") for c in ("_job", *places.columns)], F.col("_says").alias(name))
+
+    def same(name: str) -> Column:
+        return ((F.col("_h") == F.col(f"_h_{name}")) & (F.col("_p") == F.col(f"_p_{name}"))
+                & F.col("_d").eqNullSafe(F.col(f"_d_{name}")))
+
+    decided = placed.join(answers("_any", False), same("_any"), "left").join(
+        answers("_one", True), same("_one") & (F.col("job_id") == F.col("_job__one")), "left").groupBy(
+        "job_id", "pos").agg(F.max(F.greatest("_any", "_one")).alias("_says"))
     return tasks.join(decided, ["job_id", "pos"], "left").select(
         *tasks.columns,
         F.coalesce(F.col("_says").bitwiseAND(2) == 0, F.lit(True)).alias("fetch_allowed"),
