@@ -75,3 +75,13 @@ def test_request_labels(spark):
     hist = {(r.route, r.le): r.bucket_count for r in metrics.http_latency_hist(log).collect()}
     assert hist["unknown", "0.1"] == 1 and hist["unknown", "+Inf"] == 2
     assert {(r.code, r.requests) for r in metrics.http_requests(log).collect()} == {("200", 1), ("404", 1)}
+
+
+def test_waits_whose_sum_is_beyond_a_bigint(spark):
+    wait = 5 * 10 ** 18
+    schedule = spark.createDataFrame(
+        [("a", wait), ("a", wait), ("a", wait), ("a", 1000), ("b", 1001)], "domain string, delay_us bigint")
+    got = {(r.domain, r.le): (r.bucket_count, r.observations, r.sum_seconds)
+           for r in metrics.rate_delay_hist(schedule).collect()}
+    assert got["a", "+Inf"] == (3, 3, 1.5e13) and got["a", "30"] == (0, 3, 1.5e13)
+    assert got["b", "0.1"] == (1, 1, 0.001)
