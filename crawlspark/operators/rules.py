@@ -82,14 +82,17 @@ def _shapes(places: DataFrame) -> DataFrame:
         "_labels", F.explode(F.sequence(F.lit(0), F.col("s"))).alias("_segments")).distinct()
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows in a table in the shared folder, so that what they come from is computed once."""
+    path = new_run_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _said(rules: DataFrame, places: DataFrame) -> DataFrame:
-    """What rules of one key and one span of depths say together, for shapes met here, in a table in the shared folder."""
-    spark = rules.sparkSession
-    path = new_run_dir(spark, "rules")
+    """What rules of one key and one span of depths say together, for shapes met here."""
     met = _keyed(rules).join(F.broadcast(_shapes(places)), ["_labels", "_segments"], "left_semi")
-    said = met.groupBy(*_KEY, "_labels", "_segments", "_min", "_max").agg(F.max("_says").alias("_says"))
-    said.write.parquet(path)
-    return spark.read.schema(said.schema).parquet(path)
+    return met.groupBy(*_KEY, "_labels", "_segments", "_min", "_max").agg(F.max("_says").alias("_says"))
 
 
 def _ancestors(asked: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -103,10 +106,10 @@ def _ancestors(asked: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def decide(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     """Tasks (`job_id`, `pos`, `url`, `host`, `depth` and others) with `fetch_allowed` and `headless_allowed`."""
-    placed = tasks.select("job_id", "pos", _host(F.col("host")).alias("_h"),
-                          _path(path_of(F.col("url"))).alias("_p"), F.col("depth").alias("_d"))
+    placed = _kept(tasks.select("job_id", "pos", _host(F.col("host")).alias("_h"),
+                                _path(path_of(F.col("url"))).alias("_p"), F.col("depth").alias("_d")), "placed")
     places = placed.select("_h", "_p", "_d").distinct()
-    said = _said(rules, places)
+    said = _kept(_said(rules, places), "rules")
     # at most a few hundred rows: labels of a host by segments of a path
     shapes = said.select("_own", "_labels", "_segments").distinct()
     jobs = said.where("_own").select(F.col("_job").alias("job_id")).distinct()

@@ -549,12 +549,14 @@ def policy_gate(spark, folder):
 def _rules(spark, folder):
     """Many rules for every page: its site and the domains above, paths and depths, for all jobs and for single ones."""
     n = F.col("page_id")
-    site = F.regexp_extract("url", derived.HOST, 1)
-    of_page = tables.pages(spark, folder).select("page_id", site.alias("site"), rules.path_of(F.col("url")).alias("path"))
-    given = of_page.select(
-        "page_id", "site", "path", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i")).select(
-        F.when(F.col("i") % 3 == 1, derived.job_id_of(n * 7 % 100)).alias("job_id"),
-        F.when(F.col("i") % 4 == 3, F.regexp_replace("site", r"^[^.]*\.", "")).otherwise(F.col("site")).alias("host"),
+    of_page = tables.pages(spark, folder).select(
+        "page_id", F.regexp_extract("url", derived.HOST, 1).alias("site"), rules.path_of(F.col("url")).alias("path"),
+        derived.job_id_of(n * 7 % 100).alias("job")).withColumn("above", F.regexp_replace("site", r"^[^.]*\.", ""))
+    # a page is short here and gives 400 rules, so tasks get their share of pages and not of bytes
+    spread = of_page.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    given = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i")).select(
+        F.when(F.col("i") % 3 == 1, F.col("job")).alias("job_id"),
+        F.when(F.col("i") % 4 == 3, F.col("above")).otherwise(F.col("site")).alias("host"),
         F.when(F.col("i") < 2, "").when(F.col("i") < 4, F.col("path"))
         .otherwise(F.concat("path", F.lit("/r"), F.col("i").cast("string"))).alias("path"),
         F.when((n + F.col("i")) % 5 == 0, 1).cast("bigint").alias("min_depth"), F.lit(None).cast("bigint").alias("max_depth"),

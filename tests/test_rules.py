@@ -2,12 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from crawlspark.operators import frontier, rules
-from crawlspark.sources import derived
+from crawlspark.plans import queries
+from crawlspark.sources import derived, schemas
 
 TASK = "job_id string, pos bigint, url string, host string, depth bigint"
 
@@ -78,3 +80,29 @@ def test_no_list_of_rules_in_the_plan(spark):
     plan = decided._jdf.queryExecution().toString()
     assert len(plan) < 60_000 and "NestedLoop" not in plan and "Cartesian" not in plan and "h17.com" not in plan
     assert decided.where("fetch_allowed").count() == 500
+
+
+def test_tasks_are_worked_out_once(spark, tmp_path):
+    path = str(tmp_path / "frontier")
+    spark.createDataFrame([("j", i, f"https://a.com/{i}", "a.com", 0) for i in range(9)], TASK).write.parquet(path)
+    decided = rules.decide(spark.read.parquet(path), spark.createDataFrame(
+        [(None, "a.com", f"/{i}", None, None, 0, i % 2 == 0, True) for i in range(4)], rules.RULES))
+    physical = decided._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "url#" in line for line in physical.splitlines()) == 1
+    assert {r["pos"] for r in decided.where("NOT fetch_allowed").collect()} == {1, 3}
+
+
+def test_rules_of_pages(spark, tmp_path):
+    urls = ["http://m.Shop.example.com:80/en//7?a=b", "not a url", None, "https://u@x.org", "https://x.org/p/"]
+    spark.createDataFrame([(i * 9, u, "") for i, u in enumerate(urls)] * 2, schemas.PAGES).write.parquet(
+        str(tmp_path / "pages.parquet"))
+    want = []
+    for n, url in [(i * 9, u) for i, u in enumerate(urls)] * 2:
+        found = re.match(r"[a-z]+://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)", url or "")
+        site, path = found.groups() if found else (None, None) if url is None else ("", "")
+        for i in range(400):
+            host = site and re.sub(r"^[^.]*[.]", "", site) if i % 4 == 3 else site
+            below = "" if i < 2 else path if i < 4 or path is None else f"{path}/r{i}"
+            want.append((f"{derived.JOB_PREFIX}{n * 7 % 100:012}" if i % 3 == 1 else None, host, below,
+                         1 if (n + i) % 5 == 0 else None, None, int((n + i) % 41 == 0), (n + i) % 3 != 0, (n * 3 + i) % 4 != 0))
+    assert Counter(map(tuple, queries._rules(spark, str(tmp_path)).collect())) == Counter(want)
