@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from crawlspark import constants as C
-from crawlspark.operators import metrics
+from crawlspark.operators import metrics, ratelimit
 from crawlspark.sources import schemas
 from test_progress import event, frame
 
@@ -85,3 +85,14 @@ def test_waits_whose_sum_is_beyond_a_bigint(spark):
            for r in metrics.rate_delay_hist(schedule).collect()}
     assert got["a", "+Inf"] == (3, 3, 1.5e13) and got["a", "30"] == (0, 3, 1.5e13)
     assert got["b", "0.1"] == (1, 1, 0.001)
+
+
+def test_a_queue_whose_waits_sum_to_more_than_a_bigint(spark):
+    """From requests to the histogram: each waits for all before it, 10^15 microseconds apart."""
+    asked = spark.range(303).selectExpr("IF(id < 300, 'a', 'b') AS domain", "0L AS arrival_us", "id AS seq").repartition(3)
+    got = {(r.domain, r.le): (r.bucket_count, r.observations, r.sum_seconds)
+           for r in metrics.rate_delay_hist(ratelimit.rate_limit(asked, 1e-9, 1)).collect()}
+    waits = {"a": range(1, 300), "b": range(1, 3)}
+    assert sum(waits["a"]) * 10 ** 15 > 2 ** 63
+    assert {k: got[k, "+Inf"] for k in waits} == {k: (len(w), len(w), sum(w) * 1e9) for k, w in waits.items()}
+    assert got["a", "30"][0] == got["b", "0.1"][0] == 0
